@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paraweft.llm import decontamination as op2
+from paraweft.llm import mixing as op4
 from paraweft.llm import near_duplicates as op10
 
 
@@ -11,6 +13,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that stand in ``documents``."""
+    return op2.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of 150 percent takes, sources weighing 3, 1, 2 in turn."""
+    return op4.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-copies of ``documents`` by 4-word shingles at 80 percent."""
     out = op10.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=80)
@@ -18,7 +30,43 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_mix_sources": op4_mix_sources,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words per document, hash order, prefix sums and cuts as in mixing.py, with one row a document throughout.
+OP4_SQL = r"""
+with rows as (
+  select doc_id, coalesce('s' || source, 'n') as grp, source,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    md5('0:' || coalesce(doc_id::varchar, '')) as key
+  from documents
+), totals as (
+  select grp, source, sum(size)::bigint as total,
+    [3, 1, 2][((row_number() over (order by source is null, source)) - 1) % 3 + 1]::bigint as weight
+  from rows group by grp, source
+), levels as (
+  select *, (1.5::double * sum(total) over ()
+      - 2 * coalesce(sum(total) over (order by total / weight, grp rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by total / weight, grp rows between current row and unbounded following) as level
+  from totals
+), plan as (
+  select grp, total, target, case when total > 0 then floor(target / total)::bigint else 0 end as whole,
+    floor(target)::bigint as whole_words
+  from (select grp, total, least(2.0::double * total, weight * max(level) over ()) as target from levels)
+), keyed as (
+  select r.grp, r.key, sum(r.size)::bigint as g, any_value(p.whole_words - p.whole * p.total) as rest
+  from rows r join plan p using (grp) group by r.grp, r.key
+), placed as (
+  select *, sum(g) over (partition by grp order by key rows between unbounded preceding and current row) as upto from keyed
+)
+select r.doc_id, r.size, p.total as source_size, p.target,
+  (p.whole * r.size + case when k.upto <= k.rest then r.size when k.upto - k.g <= k.rest
+    then floor(r.size * (k.rest - k.upto + k.g)::double / k.g) else 0 end)::bigint as taken
+from rows r join plan p using (grp) join placed k using (grp, key)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_mix_sources": OP4_SQL,
+}
