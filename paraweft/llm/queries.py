@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paraweft.llm import decontamination as op2
 from paraweft.llm import mixing as op4
 from paraweft.llm import near_duplicates as op10
+from paraweft.llm import token_counts as op9
+from paraweft.llm.token_store import TokenStore
+from paraweft.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +27,23 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def stored_ids(docs: DataFrame) -> DataFrame:
+    """Each document's place and checksum in a new token store, as read back from its files."""
+    store = TokenStore(docs.sparkSession, Scratch(docs.sparkSession, "token-store").root)
+    out = store.write(docs, public_tokenizers.path("byte_bpe_50k.json")).verified()
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32", "verified")
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all ``documents``, id 0 after each, written to a content-addressed store and read back."""
+    return stored_ids(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all ``documents``."""
+    return op9.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-copies of ``documents`` by 4-word shingles at 80 percent."""
     out = op10.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=80)
@@ -32,6 +53,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_mix_sources": op4_mix_sources,
+    "op6_token_store": op6_token_store,
+    "op9_token_counts": op9_token_counts,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
