@@ -198,7 +198,7 @@ def _clean(shared, least: float, column: int):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             keep[[r for r, _ in _found(shared.value, batch, column, least)]] = False
-            yield batch.drop_columns(["\0lower"]).filter(pa.array(keep))
+            yield batch.drop_columns(["\x01lower"]).filter(pa.array(keep))
 
     return run
 
@@ -262,5 +262,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """The documents, all columns as they are, that hold no benchmark item by the rule of :func:`contaminated`."""
     schema = docs.schema
     for shared in _indexes(docs, items, text_col, item_id, item_text):
-        docs = docs.withColumn("\0lower", _lower(docs, text_col)).mapInArrow(_clean(shared, least, len(schema)), schema)
+        docs = docs.withColumn("\x01lower", _lower(docs, text_col)).mapInArrow(_clean(shared, least, len(schema)), schema)
     return docs

@@ -16,8 +16,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     source = F.col(source_col).cast("string")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    made = docs.withColumns({"\0grp": F.coalesce(F.concat(F.lit("s"), source), F.lit("n")), "\0size": size, "\0key": key})
-    return made.withColumn("\0bucket", F.substring("\0key", 1, 3))
+    made = docs.withColumns({"\x01grp": F.coalesce(F.concat(F.lit("s"), source), F.lit("n")), "\x01size": size, "\x01key": key})
+    return made.withColumn("\x01bucket", F.substring("\x01key", 1, 3))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], ratio: float, epochs: int) -> DataFrame:
@@ -79,16 +79,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     docs = docs.select(*[docs[c] for c in docs.columns if c not in names])
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = _rows(docs, id_col, text_col, source_col, seed)
-    narrow = scratch.write(rows.select(*[F.col(f"\0{c}").alias(c) for c in ("grp", "size", "key", "bucket")]), "sizes")
+    narrow = scratch.write(rows.select(*[F.col(f"\x01{c}").alias(c) for c in ("grp", "size", "key", "bucket")]), "sizes")
     plan = scratch.write(cuts(narrow, weights, ratio, epochs), "plan")
-    plan = plan.select(*[F.col(c).alias(f"\0{c}") for c in plan.columns])
+    plan = plan.select(*[F.col(c).alias(f"\x01{c}") for c in plan.columns])
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     scratch.drop("sizes")
-    size, key, cut = F.col("\0size"), F.col("\0key"), F.col("\0cut_key")
-    last = F.when(key < cut, size).when(key == cut, F.floor(size * F.col("\0cut_words") / F.col("\0cut_size"))).otherwise(F.lit(0))
-    out = rows.join(plan, "\0grp")
-    out = out.withColumns({"size": size, "source_size": F.col("\0total"), "target": F.col("\0target"), "taken": (F.col("\0whole") * size + last).cast("long")})
+    size, key, cut = F.col("\x01size"), F.col("\x01key"), F.col("\x01cut_key")
+    last = F.when(key < cut, size).when(key == cut, F.floor(size * F.col("\x01cut_words") / F.col("\x01cut_size"))).otherwise(F.lit(0))
+    out = rows.join(plan, "\x01grp")
+    out = out.withColumns({"size": size, "source_size": F.col("\x01total"), "target": F.col("\x01target"), "taken": (F.col("\x01whole") * size + last).cast("long")})
     return out.select(*docs.columns, *names)
 
 

@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paraweft.llm import decontamination as op2
+from paraweft.llm import language as op1
 from paraweft.llm import mixing as op4
 from paraweft.llm import near_duplicates as op10
+from paraweft.llm import quality as op8
 from paraweft.llm import token_counts as op9
 from paraweft.llm.token_store import TokenStore
 from paraweft.scratch import Scratch
@@ -17,6 +19,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each text of ``documents``, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    out = op1.identify(docs, op1.train(docs, third != 1))
+    return out.withColumn("held_out", F.coalesce(third == 1, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that stand in ``documents``."""
     return op2.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -39,6 +49,17 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_ids(_table(spark, sf_dir, "documents"))
 
 
+def judged(docs: DataFrame, sf_dir: str, columns: list[str]) -> DataFrame:
+    """Documents judged under their source as host and, within it, their language as path."""
+    labels = _table(docs.sparkSession, sf_dir, "labels")
+    return op8.classify(docs, labels, host=F.col("source"), path=F.col("lang"), columns=columns)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of all ``documents``."""
+    return judged(_table(spark, sf_dir, "documents"), sf_dir, ["doc_id"])
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all ``documents``."""
     return op9.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -51,9 +72,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_mix_sources": op4_mix_sources,
     "op6_token_store": op6_token_store,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
