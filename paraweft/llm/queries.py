@@ -11,6 +11,7 @@ from paraweft.llm import mixing as op4
 from paraweft.llm import near_duplicates as op10
 from paraweft.llm import quality as op8
 from paraweft.llm import token_counts as op9
+from paraweft.llm import topk as op5
 from paraweft.llm.token_store import TokenStore
 from paraweft.scratch import Scratch
 
@@ -37,6 +38,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of each 50th of the ``embeddings``."""
+    return op5.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def stored_ids(docs: DataFrame) -> DataFrame:
     """Each document's place and checksum in a new token store, as read back from its files."""
     store = TokenStore(docs.sparkSession, Scratch(docs.sparkSession, "token-store").root)
@@ -75,6 +81,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_mix_sources": op4_mix_sources,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_token_store": op6_token_store,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
@@ -113,6 +120,20 @@ select r.doc_id, r.size, p.total as source_size, p.target,
 from rows r join plan p using (grp) join placed k using (grp, key)
 """
 
+OP5_SQL = """
+with whole as (
+  select vec_id, [floor(256::double * x::double)::bigint for x in embedding] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score
+  from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+)
+select query_id, rank::integer as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+) where rank <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_mix_sources": OP4_SQL,
+    "op5_exact_top_k": OP5_SQL,
 }
