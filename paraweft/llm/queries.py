@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paraweft.llm import decontamination as op2
 from paraweft.llm import language as op1
+from paraweft.llm import licenses as op3
 from paraweft.llm import mixing as op4
 from paraweft.llm import near_duplicates as op10
 from paraweft.llm import quality as op8
@@ -33,6 +34,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return op2.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named or quoted in ``documents``."""
+    return op3.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of 150 percent takes, sources weighing 3, 1, 2 in turn."""
     return op4.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -80,6 +86,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_token_store": op6_token_store,
@@ -120,6 +127,33 @@ select r.doc_id, r.size, p.total as source_size, p.target,
 from rows r join plan p using (grp) join placed k using (grp, key)
 """
 
+_QUOTE = "'"
+#: The passages and templates of licenses.py, every passage tried on every template.
+OP3_SQL = rf"""
+with templates as (
+  select t.n, t.license, list_distinct([t.w[i] || ' ' || t.w[i + 1] for i in range(1, len(t.w))]) as grams from (
+    select n, license, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') as w
+    from (values {", ".join(f"({n}, '{name}', '{body.replace(_QUOTE, _QUOTE * 2)}')" for n, (name, body) in enumerate(op3.TEMPLATES))}) as v(n, license, body)) t
+), units as (
+  select doc_id, i - 1 as line, lines[i] as unit from (select doc_id, string_split(text, chr(10)) as lines from documents), unnest(range(1, len(lines) + 1)) as u(i)
+  union all
+  select distinct doc_id, -1 as line, unit from (
+    select doc_id, unnest(list_append(string_split_regex(text, '
+\s*
+'), text)) as unit from documents) where contains(unit, chr(10))
+), words as (
+  select doc_id, line, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') as w from units
+), grams as (
+  select doc_id, line, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as grams from words where len(w) between 2 and 400
+), scored as (
+  select g.doc_id, g.line, t.license, 2.0::double * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) as dice
+  from grams g, templates t where len(g.grams) between len(t.grams) * 0.6 and len(t.grams) / 0.6
+)
+select doc_id, license, max(dice) as dice, count(distinct line)::bigint as passages,
+  coalesce(min(line) filter (line >= 0), -1)::integer as first_line
+from scored where dice >= 0.8 group by doc_id, license
+"""
+
 OP5_SQL = """
 with whole as (
   select vec_id, [floor(256::double * x::double)::bigint for x in embedding] as v from embeddings
@@ -134,6 +168,7 @@ select query_id, rank::integer as rank, vec_id, score from (
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": OP3_SQL,
     "op4_mix_sources": OP4_SQL,
     "op5_exact_top_k": OP5_SQL,
 }
