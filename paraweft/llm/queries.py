@@ -10,6 +10,7 @@ from paraweft.llm import language as op1
 from paraweft.llm import licenses as op3
 from paraweft.llm import mixing as op4
 from paraweft.llm import near_duplicates as op10
+from paraweft.llm import pii as op7
 from paraweft.llm import quality as op8
 from paraweft.llm import token_counts as op9
 from paraweft.llm import topk as op5
@@ -61,6 +62,11 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_ids(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all ``documents`` and the terms that disclose it."""
+    return op7.report(op7.detect(_table(spark, sf_dir, "documents")))
+
+
 def judged(docs: DataFrame, sf_dir: str, columns: list[str]) -> DataFrame:
     """Documents judged under their source as host and, within it, their language as path."""
     labels = _table(docs.sparkSession, sf_dir, "labels")
@@ -90,6 +96,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_token_store": op6_token_store,
+    "op7_pii": op7_pii,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
