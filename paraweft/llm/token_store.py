@@ -32,8 +32,9 @@ def rolling(ids: np.ndarray) -> np.ndarray:
     """A hash of each ``WINDOW`` ids that end at a place; shorter at the beginning."""
     if not len(ids):
         return np.zeros(0, np.uint64)
-    up = np.cumprod(np.concatenate([[1], np.full(len(ids) - 1, _B, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-    down = np.cumprod(np.concatenate([[1], np.full(len(ids) - 1, _B_INVERSE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    up, down = np.full(len(ids), _B, np.uint64), np.full(len(ids), _B_INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
     g = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     g ^= g >> np.uint64(29)
     total = np.cumsum(g * up, dtype=np.uint64)
