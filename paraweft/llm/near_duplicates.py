@@ -14,11 +14,11 @@ from paraweft.llm.components import components
 from paraweft.scratch import Scratch
 
 #: Orders of the forest, MinHash values of a tree's own, and those that open a region.
-TREES, DEPTH, SHALLOW = 20, 6, 4
+TREES, DEPTH, SHALLOW = 32, 5, 4
 #: Regions with more members than this are entered at twice the depth.
 DENSE = 256
 #: Places ahead in a sorted order in which a member's neighbours are taken.
-NEIGHBOURS = 3
+NEIGHBOURS = 4
 
 
 def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
