@@ -49,7 +49,7 @@ def split_sentences(text: Column, endings: str = "zh") -> Column:
     """Sentences with their ending, stripped; those of 3 characters or fewer fall away. Null and blank texts have none."""
     e = ENDINGS[endings]
     parts = F.regexp_extract_all(F.coalesce(clean(text), F.lit("")), F.lit(f"[^{e}]*[{e}]|[^{e}]+$"), F.lit(0))
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) > 3)
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 3)
 
 
 def split_chinese(text: Column) -> Column:

@@ -59,7 +59,8 @@ def mean(vectors: Column) -> Column:
 
 def adjacent(vectors: Column) -> Column:
     """Cosine of each vector and the next."""
-    return F.when(F.size(vectors) > 1, F.zip_with(F.slice(vectors, F.lit(1), F.size(vectors) - 1), F.slice(vectors, F.lit(2), F.size(vectors) - 1), cosine)).otherwise(F.array().cast("array<double>"))
+    none = F.array().cast("array<double>")
+    return let(vectors, lambda v: F.when(F.size(v) > 1, F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), cosine)).otherwise(none))
 
 
 def at_scale(vectors: Column, scale: int) -> Column:
@@ -68,12 +69,15 @@ def at_scale(vectors: Column, scale: int) -> Column:
         return adjacent(vectors)
     h = scale // 2
 
-    def here(i: Column) -> Column:
-        left = F.slice(vectors, F.greatest(i - h, F.lit(0)) + 1, i - F.greatest(i - h, F.lit(0)) + 1)
-        right = F.slice(vectors, i + 1, F.least(F.lit(h + 1), F.size(vectors) - i))
-        return cosine(mean(left), mean(right))
+    def of(vs: Column) -> Column:
+        def here(i: Column) -> Column:
+            left = F.slice(vs, F.greatest(i - h, F.lit(0)) + 1, i - F.greatest(i - h, F.lit(0)) + 1)
+            right = F.slice(vs, i + 1, F.least(F.lit(h + 1), F.size(vs) - i))
+            return cosine(mean(left), mean(right))
+
+        return F.when(F.size(vs) > 1, F.transform(F.sequence(F.lit(0), F.size(vs) - 2), here)).otherwise(F.array().cast("array<double>"))
 
-    return F.when(F.size(vectors) > 1, F.transform(F.sequence(F.lit(0), F.size(vectors) - 2), here)).otherwise(F.array().cast("array<double>"))
+    return let(vectors, of)
 
 
 def windowed_boundaries(vectors: Column, window: int, threshold: float) -> Column:

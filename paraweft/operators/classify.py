@@ -74,7 +74,7 @@ def detect_text_type(docs: DataFrame, text_col: str = "text", novel_keywords: li
     length = F.length(text_col)
 
     def rate(x: Column) -> Column:
-        return x / length * 1000
+        return x / F.when(length > 0, length) * 1000
 
     c = F.col
     scores = {

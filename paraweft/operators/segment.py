@@ -98,7 +98,7 @@ def quality(rows: DataFrame, encoder: Encoder) -> DataFrame:
             "q_types": F.transform("paragraphs", lambda p: p["type"]),
         }
     )
-    n = F.col("q_n")
+    n = F.when(F.col("q_n") > 0, F.col("q_n"))
     content = F.size(F.filter("q_types", lambda t: t == "content")) / n
     rows = rows.withColumns({"q_same": average(V.adjacent(F.col("q_vectors"))), "q_structure": 1 - F.abs(content - 0.8)})
     score = 1 - 0.1 * F.col("q_short") / n - 0.1 * F.col("q_long") / n

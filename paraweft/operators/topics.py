@@ -13,6 +13,10 @@ STOP_WORDS = frozenset("的 了 在 是 我 有 和 就 不 人 都 一 the a an
 
 def pair_similarities(vectors: Column) -> Column:
     """Cosines of all pairs i < j of a document's paragraphs: array of struct(i, j, sim). Grows with the square of one document's paragraphs."""
+    return V.let(vectors, _pairs)
+
+
+def _pairs(vectors: Column) -> Column:
     n = F.size(vectors)
     pairs = F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
     return F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j"), V.cosine(F.get(vectors, p["i"]), F.get(vectors, p["j"])).alias("sim")))
@@ -21,7 +25,7 @@ def pair_similarities(vectors: Column) -> Column:
 def internal_consistency(sentence_vectors: Column) -> Column:
     """Mean pairwise cosine of a paragraph's sentences; 1 for up to one sentence."""
     sims = F.transform(pair_similarities(sentence_vectors), lambda p: p["sim"])
-    return F.when(F.size(sims) > 0, average(sims)).otherwise(F.lit(1.0))
+    return V.let(sims, lambda s: F.when(F.size(s) > 0, average(s)).otherwise(F.lit(1.0)))
 
 
 def terms(text: Column) -> Column:
@@ -83,6 +87,10 @@ def topic_scores(topics: Column) -> Column:
 
     Mean cosine of neighbours; mean exp(-JS) of neighbours; i + 1 where the cosine is below 0.3.
     """
+    return V.let(topics, _topic_scores)
+
+
+def _topic_scores(topics: Column) -> Column:
     n = F.size(topics)
     gaps = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
     sims = F.transform(gaps, lambda i: V.cosine(F.get(topics, i), F.get(topics, i + 1)))

@@ -327,7 +327,7 @@ def zh_split(spark, d):
 
 @query
 def zh_transitions(spark, d):
-    return V.rows_of(zh(spark).select("doc_id", chinese.transitions(T.split_sentences(F.col("text"), "zh")).alias("made")), "made", "pos").drop("pos")
+    return V.rows_of(zh(spark).select("doc_id", chinese.transitions(T.split_sentences(F.col("text"), "zh")).alias("made")), "made", "at").select("doc_id", F.col("at").alias("pos"))
 
 
 @query

@@ -1,5 +1,11 @@
-"""SQL for DuckDB."""
-ORACLE_SQL: dict[str, str] = {}
+"""The catalogue's queries as SQL for DuckDB, with RE2 patterns where Java's read differently."""
+
+from __future__ import annotations
+
+from paraweft.config import TYPE_SETTINGS, VOTES
+from paraweft.functions import lexicon as L
+from paraweft.functions.vectors import gauss
+
 # Small Chinese texts, as no test table has any.
 ZH_TEXTS = [
     "这是第一句话。这是第二句话！这是第三句话？",
@@ -11,3 +17,316 @@ ZH_TEXTS = [
     "首先，我们安装 Python 环境。其次，配置数据库和服务器。最后，运行 `test.run()` 并检查结果。",
     "「早上好」，师父说道。弟子们齐声回答：\"师父早！\"昨天的任务还没有完成，今天必须继续。短句。",
 ]
+
+WS = r"[\s\x1C-\x1F\x{85}\p{Z}]"
+NOT_WS = r"[^\s\x1C-\x1F\x{85}\p{Z}]"
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def listed(words) -> str:
+    return "[" + ", ".join(q(w) for w in words) + "]"
+
+
+def clean(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{WS}+', ' ', 'g'))"
+
+
+def norm(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({clean(x)}, '{WS}*([。！？；：，、]){WS}*', '\1', 'g'), '([。！？])({NOT_WS})', '\1 \2', 'g')"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def sents(x: str, e: str = ".!?;:") -> str:
+    return f"list_filter(list_transform(regexp_extract_all({clean(x)}, '[^{e}]*[{e}]|[^{e}]+$'), lambda s: trim(s)), lambda s: length(s) > 3)"
+
+
+def ratio(x: str) -> str:
+    visible, chinese = f"len(regexp_extract_all({x}, '{NOT_WS}'))", rf"len(regexp_extract_all({x}, '[\x{{4E00}}-\x{{9FFF}}]'))"
+    return f"(case when {visible} > 0 then {chinese} / {visible} else 0.0::double end)"
+
+
+def count(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, {q(pattern)}))"
+
+
+def re2(pattern: str) -> str:
+    """Unicode classes by name."""
+    return pattern.replace(r"\w", r"[\p{L}\p{M}\p{N}\p{Pc}]").replace(r"\s", WS)
+
+
+SPLIT = f"sentences as (select doc_id, {sents(norm('text'))} as s from documents)"
+ROWS = "rows as (select doc_id, (i - 1)::integer as pos, s[i] as sentence from sentences, unnest(range(1, len(s) + 1)) as u(i))"
+ORACLE_SQL: dict[str, str] = {}
+O = ORACLE_SQL  # noqa: E741
+
+O["validate_documents"] = f"""
+select doc_id, is_valid, case when not is_valid then case when not regexp_matches(text, '{NOT_WS}') then 'blank' else 'too long' end end as error
+from (select *, regexp_matches(text, '{NOT_WS}') and length(text) <= 10000 as is_valid from documents)"""
+
+O["request_validation"] = f"""
+select doc_id, case when t = '' then 'text is missing or blank' when length(t) > 10000 then 'text is too long'
+  when not (doc_id % 7 / 5 between 0 and 1) then 'threshold is not within 0 and 1' when doc_id % 3 = 1 then 'unknown text type' end as error
+from (select doc_id, {strip('text')} as t from documents)"""
+
+_WIDE = rf"regexp_replace(regexp_replace(translate(b, ',.!?:;', '，。！？：；'), '([\x{{4E00}}-\x{{9FFF}}]){WS}+([a-zA-Z])', '\1 \2', 'g'), '([a-zA-Z]){WS}+([\x{{4E00}}-\x{{9FFF}}])', '\1 \2', 'g')"
+O["clean_normalize"] = f"""
+select doc_id, {clean('text')} as cleaned, case when {ratio('b')} > 0.5 then {_WIDE} else b end as normalized
+from (select doc_id, text, {norm('text')} as b from documents)"""
+
+O["sentence_split"] = f"with {SPLIT}, {ROWS} select doc_id, pos, sentence from rows"
+
+_MEAN = "coalesce(list_sum(l) / nullif(len(l), 0), 0.0)"
+O["sentence_stats"] = f"""
+with {SPLIT}, lens as (select doc_id, len(s)::integer as n_sentences, list_transform(s, lambda x: length(x)::double) as l from sentences),
+means as (select *, {_MEAN} as m from lens)
+select doc_id, n_sentences, round(m, 6) as avg_length, round(coalesce(sqrt(list_sum(list_transform(l, lambda x: (x - m) * (x - m))) / nullif(len(l), 0)), 0.0), 6) as std_length from means"""
+
+O["sentence_split_report"] = f"""
+with {SPLIT}, {ROWS} select lang, count(*) as n_sentences, round(avg(length(sentence)), 6) as avg_length, count(distinct source) as n_sources
+from rows join documents using (doc_id) group by lang"""
+
+
+def present(words) -> str:
+    return f"len(list_filter({listed(w.lower() for w in dict.fromkeys(words))}, lambda k: contains(lower(text), k)))::integer"
+
+
+_CODE = " + ".join(count("text", re2(p)) for p in L.CODE)
+_DIALOGUE = " + ".join(count("text", p) for p in L.DIALOGUE) + f" + floor(3 * {count('text', chr(34))} / 2)::integer"
+_NARRATION = " + ".join(count("text", p) for p in L.NARRATION) + f" + floor({count('text', L.PRONOUN)} / 10)::integer"
+O["keyword_counts"] = f"select doc_id, {present(L.TECHNICAL)} as technical_keywords, {present(L.NOVEL)} as novel_keywords, {present(L.ACADEMIC)} as academic_keywords, {present(L.NEWS)} as news_keywords from documents"
+O["code_patterns"] = f"select doc_id, ({_CODE})::integer as n from documents"
+O["dialogue_patterns"] = f"select doc_id, ({_DIALOGUE})::integer as n, ({_NARRATION})::integer as narration from documents"
+
+_PARTS = f"list_filter(list_transform(regexp_split_to_array(text, '[。！？；]'), lambda x: {strip('x')}), lambda x: x <> '')"
+_STRUCTURE = f"""parts as (select *, {_PARTS} as p from documents),
+structured as (select * exclude (p), coalesce(list_sum(list_transform(p, lambda x: length(x))) / nullif(len(p), 0), 0.0) as avg_length,
+  coalesce({count('text', '[，,]')} / nullif(len(p), 0), 0.0) as complexity, coalesce({count('text', '[？?]')} / nullif(len(p), 0), 0.0) as question_ratio from parts)"""
+O["sentence_structure"] = f"with {_STRUCTURE} select doc_id, round(avg_length, 6) as avg_length, round(complexity, 6) as complexity, round(question_ratio, 6) as question_ratio from structured"
+
+TYPED = f"""{_STRUCTURE},
+evidence as (select *, {present(L.TECHNICAL)} as tk, {present(L.NOVEL)} as vk, {present(L.ACADEMIC)} as ak, {present(L.NEWS)} as nk, {_CODE} as code, {_DIALOGUE} as dia, {_NARRATION} as nar, length(text) as len from structured),
+scores as (select *, (tk * 2 + code * 3) / len * 1000 as s1, (vk * 1.5::double + dia * 1.5::double + nar * 2) / len * 1000 as s2, (ak * 2 + complexity * 5) / len * 1000 as s3, nk / len * 1000 as s4, dia / len * 1000 as s5 from evidence),
+tops as (select *, greatest(s1, s2, s3, s4, s5) as top, s1 + s2 + s3 + s4 + s5 as total, list_reverse_sort([s1, s2, s3, s4, s5]) as ranked from scores),
+judged as (select *, case when total > 0 then top / total else 0.0 end as conf,
+  case when s1 = top then 'technical' when s2 = top then 'novel' when s3 = top then 'academic' when s4 = top then 'news' else 'dialogue' end as best from tops),
+mixes as (select *, coalesce((top > 0 and ranked[2] / nullif(top, 0) > 0.6), false) or len(list_filter(ranked, lambda x: x > top * 0.4)) >= 3 or (best = 'academic' and top > 50 and ak <= 1 and (vk > 0 or tk > 0)) as mixed from judged),
+fits as (select *, coalesce(length({strip('text')}) >= 50, false) as fit from mixes),
+typed as (select doc_id, text, lang, case when not fit or top < 1.0 then 'unknown' when mixed or conf < 0.25 then 'mixed' else best end as text_type,
+  case when fit then conf else 0.0 end as confidence, case when fit then top end as max_score, case when fit then mixed end as is_mixed from fits)"""
+O["detect_text_type"] = f"with {TYPED} select doc_id, text_type, round(confidence, 6) as confidence, round(max_score, 6) as max_score, is_mixed from typed"
+O["type_distribution_by_lang"] = f"with {TYPED} select lang, text_type, count(*) as n, round(avg(confidence), 6) as confidence from typed group by all"
+_SETTINGS = ", ".join(f"('{k}', {v[0]}::double, {v[1]}, {v[2]}, {v[3]}, {str(v[4]).lower()})" for k, v in TYPE_SETTINGS.items())
+SETTINGS = f"settings as (select * from (values {_SETTINGS}) as v(text_type, threshold, window_size, min_paragraph_length, max_paragraph_length, use_structure_hints))"
+O["segmentation_config_join"] = f"with {TYPED}, {SETTINGS} select doc_id, text_type, threshold, window_size, min_paragraph_length, max_paragraph_length, use_structure_hints from typed join settings using (text_type)"
+
+
+def phrases(x: str, k: int) -> str:
+    return rf"array_to_string(list_slice(list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: regexp_full_match(w, '\p{{L}}{{3,}}')), 1, {k}), '|')"
+
+
+O["key_phrases"] = f"select doc_id, {phrases(norm('text'), 5)} as phrases from documents"
+
+# vectors: each label of the embeddings is a document
+VECTORS = "vectors as (select label, row_number() over (partition by label order by vec_id) - 1 as pos, list_transform(embedding, lambda x: x::double) as v from embeddings)"
+
+
+def cosine(a: str, b: str) -> str:
+    size = f"(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+    return f"round(case when {size} > 0 then list_dot_product({a}, {b}) / {size} else 0.0 end, 9)"
+
+
+def mean(ls: str) -> str:
+    return f"list_transform(range(1, 65), lambda i: list_sum(list_transform({ls}, lambda w: w[i])) / len({ls}))"
+
+
+_W = "over (partition by label order by pos rows between {} and {})"
+SIMS = f"""{VECTORS},
+windows as (select label, pos, v, lead(v) over (partition by label order by pos) as nv,
+  list(v) {_W.format('1 preceding', 'current row')} as l3, list(v) {_W.format('current row', '1 following')} as r3,
+  list(v) {_W.format('2 preceding', 'current row')} as l5, list(v) {_W.format('current row', '2 following')} as r5 from vectors),
+means as (select label, pos, v, nv, {mean('l3')} as m3, {mean('r3')} as n3, {mean('l5')} as m5, {mean('r5')} as n5 from windows where nv is not null),
+sims as (select label, pos::integer as pos, {cosine('v', 'nv')} as scale_1, {cosine('m3', 'n3')} as scale_3, {cosine('m5', 'n5')} as scale_5 from means)"""
+O["adjacent_similarity_embeddings"] = f"with {SIMS} select label, pos, round(scale_1, 6) as sim from sims"
+O["multi_scale_similarity"] = f"with {SIMS} select label, pos, round(scale_1, 6) as scale_1, round(scale_3, 6) as scale_3, round(scale_5, 6) as scale_5 from sims"
+
+
+def smoothed(k: int) -> str:
+    n = f"len(s{k})"
+    at = lambda d: f"((i + {d}) % (2 * {n}) + 2 * {n}) % (2 * {n})"
+    term = lambda w, d: f"{w!r}::double * s{k}[1 + (case when {at(d)} >= {n} then 2 * {n} - 1 - {at(d)} else {at(d)} end)]"
+    total = " + ".join(term(w, d) for d, w in zip(range(-4, 5), gauss(), strict=True))
+    return f"case when {n} >= 3 then list_transform(range(0, {n}), lambda i: round({total}, 9)) else s{k} end as t{k}"
+
+
+SMOOTH = f"""{SIMS}, series as (select label, list(scale_1 order by pos) as s1, list(scale_3 order by pos) as s3, list(scale_5 order by pos) as s5 from sims group by label),
+smoothed as (select label, {smoothed(1)}, {smoothed(3)}, {smoothed(5)} from series),
+points as (select label, i::integer as pos, t1, t3, t5 from smoothed, unnest(range(0, len(t1))) as u(i))"""
+O["smoothed_similarity"] = f"with {SMOOTH} select label, pos, round(t1[pos + 1], 6) as sim from points"
+
+
+def candidate(t: str, threshold: str) -> str:
+    here, before, after = f"{t}[pos + 1]", f"{t}[pos]", f"{t}[pos + 2]"
+    inner = f"pos > 0 and pos < len({t}) - 1 and {here} < {before} and {here} < {after}"
+    drop = f"pos > 0 and {before} > 0 and round(({before} - {here}) / {before}, 9) > 0.15"
+    return f"(coalesce({inner}, false) or coalesce({drop}, false) or ({threshold} > 0 and {here} < {threshold}))"
+
+
+O["boundary_candidates"] = f"with {SMOOTH} select label, pos as boundary from points where {candidate('t1', '0.05::double')}"
+_NOVEL = VOTES["novel"]
+_TERMS = " + ".join(f"case when {candidate(t, f'{th}::double')} then {w}::double * (1 - {t}[pos + 1]) else 0.0 end" for t, (w, th) in zip(("t1", "t3", "t5"), _NOVEL[:3], strict=True))
+_ANY = " or ".join(candidate(t, f"{th}::double") for t, (_, th) in zip(("t1", "t3", "t5"), _NOVEL[:3], strict=True))
+O["boundary_vote"] = f"with {SMOOTH} select label, pos as boundary from points where ({_ANY}) and round(0.0::double + {_TERMS}, 9) >= {_NOVEL[3]}::double"
+O["boundary_min_distance"] = f"""
+with recursive {SMOOTH}, found as (select label, list(pos order by pos) as c from points where {candidate('t1', '0.05::double')} group by label),
+walk as (select label, c, 1 as k, c[1] as last, true as kept from found
+  union all select label, c, k + 1, case when c[k + 1] - last >= 4 then c[k + 1] else last end, c[k + 1] - last >= 4 from walk where k < len(c))
+select label, last as boundary from walk where kept"""
+O["sliding_window_boundaries"] = f"""
+with {VECTORS}, windows as (select label, pos, list(v) {_W.format('3 preceding', '1 preceding')} as l, list(v) {_W.format('current row', '2 following')} as r, count(*) over (partition by label) as n from vectors),
+means as (select label, pos, {mean('l')} as ml, {mean('r')} as mr from windows where pos >= 3 and pos < n - 3)
+select label, pos::integer as boundary from means where {cosine('ml', 'mr')} < 0.3"""
+
+_TITLE = f"length(sentence) < 50 and (starts_with(sentence, '#') or ends_with(sentence, '：') or ends_with(sentence, ':') or {count('sentence', NOT_WS + '+')} <= 5)"
+_ITEM = r"regexp_matches(trim(sentence), '^(?:[•\-*]|1\.|2\.|3\.|一、|二、|三、|（一）|（二）)')"
+O["structure_boundaries"] = f"with {SPLIT}, {ROWS} select doc_id, pos as boundary from rows where pos > 0 and (({_TITLE}) or {_ITEM})"
+
+# paragraphs that begin at every second sentence; sums[i] are the characters before sentence i
+_CUTS = f"""{SPLIT}, summed as (select doc_id, len(s) as n, list_transform(range(0, len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0)) as sums from sentences),
+cuts as (select *, range(2, n, 2) as b from summed where n > 2)"""
+
+
+def span(a: str, b: str) -> str:
+    return f"(sums[{b} + 1] - sums[{a} + 1] + greatest({b} - {a} - 1, 0))"
+
+
+O["length_repair"] = f"""
+with recursive {_CUTS},
+walk as (select doc_id, sums, b, 0 as k, 0::bigint as start, []::bigint[] as made from cuts
+  union all select doc_id, sums, b, k + 1, case when {span('start', 'b[k + 1]')} < 100 then start else b[k + 1] end,
+    case when {span('start', 'b[k + 1]')} < 100 then [] when {span('start', 'b[k + 1]')} > 300 and b[k + 1] - start > 2 then [start + (b[k + 1] - start) // 2, b[k + 1]] else [b[k + 1]] end
+  from walk where k < len(b))
+select doc_id, unnest(made)::integer as boundary from walk"""
+O["transformer_length_repair"] = f"""
+with {_CUTS}, each as (select doc_id, sums, b[k] as e, case when k > 1 then b[k - 1] else 0 end as a from cuts, unnest(range(1, len(b) + 1)) as u(k)),
+made as (select doc_id, case when {span('a', 'e')} < 100 then [] when {span('a', 'e')} > 300 and e - a > 2 then [a + (e - a) // 2, e] else [e] end as m from each)
+select doc_id, unnest(m)::integer as boundary from made"""
+
+_METHOD = "case when length(text) < 500 or length(text) > 5000 then 'enhanced' when text_type in ('novel', 'dialogue') then 'transformer' when text_type = 'mixed' then 'hybrid' else 'enhanced' end"
+O["method_selection"] = f"with {TYPED} select doc_id, text_type, case when doc_id % 10 = 0 then 'transformer' else {_METHOD} end as method from typed"
+O["method_recommendation"] = f"""
+with {TYPED}, chosen as (select *, {_METHOD} as recommended_method from typed)
+select doc_id, recommended_method, concat_ws('; ', case when length(text) < 500 then 'short text: the enhanced method is faster' when length(text) > 5000 then 'long text: the enhanced method is steadier' end,
+  case when text_type = 'mixed' then 'mixed type: both methods are worth running' when text_type in ('novel', 'dialogue') then 'literary or spoken text: the transformer understands more' else 'technical or academic text: the enhanced method is more precise' end) as reasons,
+  array_to_string(list_filter(['enhanced', 'transformer', 'hybrid'], lambda m: m <> recommended_method), ',') as alternatives from chosen"""
+O["method_ranking"] = """
+with scores as (select doc_id, m.method, round(n_chars * m.k % 101 / 100, 2) as score from documents, (values ('enhanced', 3), ('transformer', 7), ('hybrid', 11), ('multi_task', 13)) as m(method, k)),
+tops as (select *, max(score) over (partition by doc_id) as top from scores)
+select doc_id, method, score, rank() over (partition by doc_id order by score desc)::integer as rank, min(case when score = top then method end) over (partition by doc_id) as best_method, round(top - score, 9) as behind_best from tops"""
+
+# Markdown of the documents, line by line
+NOTED = r"""noted as (select doc_id, concat('# ', source, chr(10), chr(10), text, chr(10), chr(10), '- ', lang, chr(10), '- n', n_chars::varchar, chr(10), chr(10),
+  case when doc_id % 2 = 0 then concat('end', chr(10), chr(10)) else '' end, '```text', chr(10), 'doc ', doc_id::varchar, chr(10), '```', chr(10), chr(10),
+  '> quoted ', lang, chr(10), chr(10), '| id | lang |', chr(10), '|----|------|', chr(10), '| ', doc_id::varchar, ' | ', lang, ' |', chr(10), chr(10), '---') as markdown from documents)"""
+BLOCKS = rf"""{NOTED},
+lines as (select doc_id, i - 1 as line, l[i] as raw, {strip('l[i]')} as s from (select doc_id, string_split(markdown, chr(10)) as l from noted), unnest(range(1, len(l) + 1)) as u(i)),
+fenced as (select *, sum(case when starts_with(s, '```') then 1 else 0 end) over (partition by doc_id order by line) as fences, max(line) over (partition by doc_id) as last_line from lines),
+kinds as (select *, case when starts_with(s, '```') then 'fence' when fences % 2 = 1 then 'code' when s = '' then 'blank' when regexp_matches(s, '^#{{1,6}}{WS}+.') then 'heading'
+  when regexp_matches(s, '^>{WS}*.') then 'quote' when regexp_matches(s, '^([-*+]|[0-9]+\.){WS}+.') then 'list' when regexp_matches(s, '^[-*_]{{3,}}$') then 'horizontal_rule'
+  when regexp_matches(s, '^\|.+\|$') then 'table' else 'paragraph' end as kind from fenced),
+code as (select doc_id, min(line) as line_start, max(line) as line_end, 'code_block' as type, coalesce(string_agg(case when kind = 'code' then raw end, chr(10) order by line), '') as content,
+  null::integer as level, max(case when kind = 'fence' and fences % 2 = 1 then {strip("substr(s, 4)")} end) as language, null::bigint as closer, null::bigint as last_solid
+  from kinds where kind in ('fence', 'code') group by doc_id, ceil(fences / 2)),
+solid as (select *, lag(kind) over w as bk, lag(line) over w as bl from kinds where kind not in ('blank', 'fence', 'code') window w as (partition by doc_id, fences order by line)),
+runs as (select *, sum(case when bk is null or bk <> kind or kind in ('heading', 'horizontal_rule') or (kind = 'paragraph' and line - bl > 1) then 1 else 0 end) over (partition by doc_id, fences order by line) as run from solid),
+grouped as (select doc_id, fences, run, any_value(kind) as type, min(line) as line_start, max(line) as last_solid, any_value(last_line) as last_line,
+  string_agg(case when kind = 'heading' then {strip("regexp_replace(s, '^#{1,6}', '')")} when kind = 'quote' then {strip("substr(s, 2)")} when kind = 'list' then regexp_replace(s, '^([-*+]|[0-9]+\.){WS}+', '\1 ') else s end,
+    case when kind in ('list', 'table') then chr(10) else ' ' end order by line) as content, max(case when kind = 'heading' then length(regexp_extract(s, '^#{{1,6}}')) end)::integer as level
+  from runs group by doc_id, fences, run, case when kind in ('list', 'table') then chr(10) else ' ' end),
+closed as (select g.*, (select min(k.line) from kinds k where k.doc_id = g.doc_id and k.line > g.last_solid and k.kind not in ('code', 'blank')) as closer from grouped g),
+plain as (select doc_id, line_start, case when type in ('heading', 'horizontal_rule') then line_start when type = 'paragraph' then last_solid else coalesce(closer - 1, last_line) end as line_end,
+  type, content, level, null::varchar as language, closer, last_solid from closed),
+kept as (select * from plain where __KEEP__ union all select * from code),
+blocks as (select doc_id, (row_number() over (partition by doc_id order by line_start) - 1)::integer as block, type, content, level, language, line_start::integer as line_start, line_end::integer as line_end from kept)"""
+_ALL = BLOCKS.replace("__KEEP__", "true")
+_REFERENCE = BLOCKS.replace("__KEEP__", "not ((type in ('list', 'quote', 'table') or (type = 'paragraph' and closer = last_solid + 1)) and exists (select 1 from kinds k where k.doc_id = plain.doc_id and k.line = plain.closer and k.kind = 'fence' and k.fences % 2 = 1))")
+O["markdown_parse"] = f"with {_ALL} select doc_id, block, type, content, level, language, line_start, line_end from blocks"
+O["markdown_parse_compat"] = f"with {_REFERENCE} select doc_id, block, type, line_start, line_end from blocks"
+_N = ", ".join(f"count(*) filter (type = '{k}') as n_{k}" for k in ("heading", "paragraph", "code_block", "list", "quote", "table", "horizontal_rule"))
+_LEVELS = ", ".join(f"count(*) filter (level = {k}) as n_level_{k}" for k in range(1, 7))
+O["markdown_stats"] = f"""with {_ALL} select doc_id, count(*) as total_blocks, {_N}, {_LEVELS}, coalesce(sum(length(content)) filter (type = 'paragraph'), 0)::bigint as paragraph_chars,
+  round(coalesce(sum(length(content)) filter (type = 'paragraph') / nullif(count(*) filter (type = 'paragraph'), 0), 0.0), 2) as average_paragraph from blocks group by doc_id"""
+_PLAIN = "content"
+for _p in (r"\[([^\]]+)\]\([^)]+\)", r"!\[([^\]]*)\]\([^)]+\)", r"\*\*([^*]+)\*\*", r"\*([^*]+)\*", r"`([^`]+)`"):
+    _PLAIN = rf"regexp_replace({_PLAIN}, '{_p}', '\1', 'g')"
+O["markdown_extract_text"] = rf"""with {_ALL}, parts as (select doc_id, block, case when type = 'list' then list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '^([-*+]|[0-9]+\.) ', '')) else [{_PLAIN}] end as items
+  from blocks where type in ('paragraph', 'heading', 'quote', 'list')),
+joined as (select doc_id, array_to_string(list_filter(flatten(list(items order by block)), lambda x: x <> ''), chr(10) || chr(10)) as t from parts group by doc_id)
+select doc_id, md5(t) as text_md5, length(t)::integer as n_chars from joined"""
+O["markdown_reconstruct"] = f"""with {_ALL}, rendered as (select doc_id, block, type, lead(type) over (partition by doc_id order by block) as after,
+  case type when 'heading' then repeat('#', level) || ' ' || content when 'code_block' then '```' || coalesce(language, '') || chr(10) || content || chr(10) || '```' when 'quote' then '> ' || content else content end as body from blocks),
+joined as (select doc_id, string_agg(body || case when after is null then '' when after = type and type in ('list', 'quote', 'table') then chr(10) else chr(10) || chr(10) end, '' order by block) as t from rendered group by doc_id)
+select doc_id, md5(t) as markdown_md5, length(t)::integer as n_chars from joined"""
+O["markdown_chunks"] = f"""with recursive {_ALL}, sized as (select doc_id, list(length(content) order by block) as ns from blocks group by doc_id),
+walk as (select doc_id, ns, 1 as k, 0 as chunk, ns[1]::bigint as size from sized
+  union all select doc_id, ns, k + 1, case when size > 0 and size + ns[k + 1] > 1000 then chunk + 1 else chunk end, case when size > 0 and size + ns[k + 1] > 1000 then ns[k + 1] else size + ns[k + 1] end from walk where k < len(ns))
+select doc_id, chunk::integer as chunk, (min(k) - 1)::integer as first_block, count(*) as n_blocks, sum(ns[k])::bigint as size from walk group by doc_id, chunk"""
+O["markdown_segment"] = f"""with {_ALL}, split as (select doc_id, type, case when type = 'paragraph' and length(content) > 200 and len({sents('content')}) > 0 then {sents('content')} else [content] end as parts from blocks)
+select doc_id, type, count(*) as n, sum(length(piece))::bigint as chars from (select doc_id, type, unnest(parts) as piece from split) group by doc_id, type"""
+
+# conversations: each turn a paragraph
+TURNS = "turns as (select conv_id as doc_id, turn as para, text from conversations)"
+_STOP = listed(sorted(set("的 了 在 是 我 有 和 就 不 人 都 一 the a an of to and in is it that".split())))
+TERMS = rf"""{TURNS}, words as (select doc_id, para, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]{{2,}}'), lambda w: not list_contains({_STOP}, w))) as term from turns),
+tf as (select doc_id, para, term, count(*) as tf from words group by all)"""
+TFIDF = f"""{TERMS}, sizes as (select doc_id, count(*) as n from turns group by doc_id),
+counted as (select *, count(*) over (partition by doc_id, term) as df from tf join sizes using (doc_id)),
+raw as (select *, tf * (ln((1 + n) / (1 + df)) + 1) as w from counted where df <= 0.9 * n),
+weights as (select doc_id, para, term, round(w / sqrt(sum(w * w) over (partition by doc_id, para)), 9) as weight from raw)"""
+O["lexical_tfidf"] = f"with {TFIDF} select doc_id, para, term, round(weight, 6) as weight from weights"
+O["lexical_similarity"] = f"with {TFIDF} select a.doc_id, a.para as i, b.para as j, round(sum(a.weight * b.weight), 6) as sim from weights a join weights b on a.doc_id = b.doc_id and a.term = b.term and a.para < b.para group by all"
+O["keyword_overlap"] = f"""with {TERMS}, best as (select *, row_number() over (partition by doc_id, para order by tf desc, term) as r from tf),
+tops as (select doc_id, para, list(term) as words from best where r <= 5 group by doc_id, para),
+pairs as (select doc_id, para, coalesce(words, []::varchar[]) as a, lead(coalesce(words, []::varchar[])) over (partition by doc_id order by para) as b from turns left join tops using (doc_id, para))
+select doc_id, para, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(a || b)), 0), 0.0), 9) as overlap from pairs where b is not null"""
+
+
+def hashed(x: str) -> str:
+    """Counts of a text's words in 64 dimensions; a cosine of counts is that of their unit vectors."""
+    words = rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
+    return f"(list_transform(range(0, 64), lambda d: len(list_filter(list_transform({words}, lambda w: ('0x' || substr(md5(w), 1, 8))::bigint % 64), lambda b: b = d))::double))"
+
+
+PAIRS = f"hashes as (select doc_id, para, {hashed('text')} as v from turns)"
+O["similarity_matrix"] = f"""with {TURNS}, {PAIRS}, placed as (select *, row_number() over (partition by doc_id order by para) - 1 as i from hashes)
+select a.doc_id, a.i::integer as i, b.i::integer as j, round({cosine('a.v', 'b.v')}, 6) as sim from placed a join placed b on a.doc_id = b.doc_id and a.i < b.i"""
+O["internal_consistency"] = f"""with {TURNS}, split as (select doc_id, para, {sents('text')} as s from turns),
+vecs as (select doc_id, para, i, {hashed('s[i]')} as v from split, unnest(range(1, len(s) + 1)) as u(i)),
+sims as (select a.doc_id, a.para, avg({cosine('a.v', 'b.v')}) as c from vecs a join vecs b on a.doc_id = b.doc_id and a.para = b.para and a.i < b.i group by all)
+select doc_id, para, round(coalesce(c, 1.0), 6) as consistency from turns left join sims using (doc_id, para)"""
+O["task_status_rollup"] = """with tasks as (select case when event_id % 4 = 0 then 'completed' when event_id % 4 = 1 then 'pending' else 'processing' end as status, (event_id % 100)::integer as p from events),
+told as (select status, case when status <> 'processing' then status when p < 20 then 'reading' when p < 40 then 'parsing' when p < 80 then 'segmenting' else 'assembling' end as message,
+  case when status = 'processing' and p > 0 then round(120.0::double / (p / 100) - 120.0, 3) end as remaining from tasks)
+select status, message, count(*) as n, round(avg(remaining), 3) as remaining from told group by all"""
+O["event_windows"] = "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all"
+O["event_sessions"] = """with gaps as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as new from events),
+numbered as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from gaps)
+select user_id, min(ts) as session_start, count(*) as n from numbered group by user_id, k"""
+O["deduplicated_sentences"] = f"with {SPLIT}, {ROWS} select sentence, count(*) as n, min(doc_id) as first_doc from rows group by sentence"
+O["longest_sentences"] = f"""with {SPLIT}, {ROWS}, ranked as (select lang, doc_id, pos, length(sentence)::integer as n, row_number() over (partition by lang order by length(sentence) desc, doc_id, pos)::integer as rank from rows join documents using (doc_id))
+select lang, rank, doc_id, pos, n from ranked where rank <= 3"""
+
+_ZH = "zh as (select * from (values " + ", ".join(f"({k}::bigint, {q(t)})" for k, t in enumerate(ZH_TEXTS)) + ") as v(doc_id, text))"
+O["zh_ratio"] = f"with {_ZH}, based as (select doc_id, text, {norm('text')} as b from zh) select doc_id, round({ratio('text')}, 9) as ratio, case when {ratio('b')} > 0.5 then {_WIDE} else b end as normalized from based"
+O["zh_transitions"] = f"with {_ZH}, sentences as (select doc_id, {sents('text', '。！？；：')} as s from zh), {ROWS} select doc_id, pos from rows where regexp_matches(sentence, {q('|'.join([*L.TRANSITIONS, *L.MARKERS, *L.TIMES]))})"
+_LINED = rf"""regexp_replace(regexp_replace(text, '([。！？；])(["])', '\1' || chr(10) || '\2', 'g'), '(["])([。！？；])', '\1\2' || chr(10), 'g')"""
+O["zh_split"] = f"""with recursive {_ZH}, parts as (select doc_id, list_filter(list_transform(regexp_extract_all({_LINED}, '[^。！？；]*[。！？；]|[^。！？；]+$'), lambda s: {strip('s')}), lambda s: s <> '') as p from zh),
+walk as (select doc_id, p, 1 as k, [p[1]] as out from parts where len(p) > 0
+  union all select doc_id, p, k + 1, case when length(p[k + 1]) < 10 then list_append(out[1:-2], out[-1] || p[k + 1]) else list_append(out, p[k + 1]) end from walk where k < len(p)),
+done as (select doc_id, out from walk where k = len(p))
+select doc_id, (i - 1)::integer as pos, out[i] as sentence from done, unnest(range(1, len(out) + 1)) as u(i)"""
