@@ -245,9 +245,9 @@ code as (select doc_id, min(line) as line_start, max(line) as line_end, 'code_bl
 solid as (select *, lag(kind) over w as bk, lag(line) over w as bl from kinds where kind not in ('blank', 'fence', 'code') window w as (partition by doc_id, fences order by line)),
 runs as (select *, sum(case when bk is null or bk <> kind or kind in ('heading', 'horizontal_rule') or (kind = 'paragraph' and line - bl > 1) then 1 else 0 end) over (partition by doc_id, fences order by line) as run from solid),
 grouped as (select doc_id, fences, run, any_value(kind) as type, min(line) as line_start, max(line) as last_solid, any_value(last_line) as last_line,
-  string_agg(case when kind = 'heading' then {strip("regexp_replace(s, '^#{1,6}', '')")} when kind = 'quote' then {strip("substr(s, 2)")} when kind = 'list' then regexp_replace(s, '^([-*+]|[0-9]+\.){WS}+', '\1 ') else s end,
-    case when kind in ('list', 'table') then chr(10) else ' ' end order by line) as content, max(case when kind = 'heading' then length(regexp_extract(s, '^#{{1,6}}')) end)::integer as level
-  from runs group by doc_id, fences, run, case when kind in ('list', 'table') then chr(10) else ' ' end),
+  array_to_string(list(case when kind = 'heading' then {strip("regexp_replace(s, '^#{1,6}', '')")} when kind = 'quote' then {strip("substr(s, 2)")} when kind = 'list' then regexp_replace(s, '^([-*+]|[0-9]+\.){WS}+', '\1 ') else s end order by line),
+    case when any_value(kind) in ('list', 'table') then chr(10) else ' ' end) as content, max(case when kind = 'heading' then length(regexp_extract(s, '^#{{1,6}}')) end)::integer as level
+  from runs group by doc_id, fences, run),
 closed as (select g.*, (select min(k.line) from kinds k where k.doc_id = g.doc_id and k.line > g.last_solid and k.kind not in ('code', 'blank')) as closer from grouped g),
 plain as (select doc_id, line_start, case when type in ('heading', 'horizontal_rule') then line_start when type = 'paragraph' then last_solid else coalesce(closer - 1, last_line) end as line_end,
   type, content, level, null::varchar as language, closer, last_solid from closed),
