@@ -245,8 +245,7 @@ code as (select doc_id, min(line) as line_start, max(line) as line_end, 'code_bl
 solid as (select *, lag(kind) over w as bk, lag(line) over w as bl from kinds where kind not in ('blank', 'fence', 'code') window w as (partition by doc_id, fences order by line)),
 runs as (select *, sum(case when bk is null or bk <> kind or kind in ('heading', 'horizontal_rule') or (kind = 'paragraph' and line - bl > 1) then 1 else 0 end) over (partition by doc_id, fences order by line) as run from solid),
 grouped as (select doc_id, fences, run, any_value(kind) as type, min(line) as line_start, max(line) as last_solid, any_value(last_line) as last_line,
-  array_to_string(list(case when kind = 'heading' then {strip("regexp_replace(s, '^#{1,6}', '')")} when kind = 'quote' then {strip("substr(s, 2)")} when kind = 'list' then regexp_replace(s, '^([-*+]|[0-9]+\.){WS}+', '\1 ') else s end order by line),
-    case when any_value(kind) in ('list', 'table') then chr(10) else ' ' end) as content, max(case when kind = 'heading' then length(regexp_extract(s, '^#{{1,6}}')) end)::integer as level
+  case when any_value(kind) in ('list', 'table') then array_to_string(list(case when kind = 'heading' then {strip("regexp_replace(s, '^#{1,6}', '')")} when kind = 'quote' then {strip("substr(s, 2)")} when kind = 'list' then regexp_replace(s, '^([-*+]|[0-9]+\.){WS}+', '\1 ') else s end order by line), chr(10)) else array_to_string(list(case when kind = 'heading' then {strip("regexp_replace(s, '^#{1,6}', '')")} when kind = 'quote' then {strip("substr(s, 2)")} when kind = 'list' then regexp_replace(s, '^([-*+]|[0-9]+\.){WS}+', '\1 ') else s end order by line), ' ') end as content, max(case when kind = 'heading' then length(regexp_extract(s, '^#{{1,6}}')) end)::integer as level
   from runs group by doc_id, fences, run),
 closed as (select g.*, (select min(k.line) from kinds k where k.doc_id = g.doc_id and k.line > g.last_solid and k.kind not in ('code', 'blank')) as closer from grouped g),
 plain as (select doc_id, line_start, case when type in ('heading', 'horizontal_rule') then line_start when type = 'paragraph' then last_solid else coalesce(closer - 1, last_line) end as line_end,
@@ -330,3 +329,58 @@ walk as (select doc_id, p, 1 as k, [p[1]] as out from parts where len(p) > 0
   union all select doc_id, p, k + 1, case when length(p[k + 1]) < 10 then list_append(out[1:-2], out[-1] || p[k + 1]) else list_append(out, p[k + 1]) end from walk where k < len(p)),
 done as (select doc_id, out from walk where k = len(p))
 select doc_id, (i - 1)::integer as pos, out[i] as sentence from done, unnest(range(1, len(out) + 1)) as u(i)"""
+
+# the whole method: types, sentences, unit vectors of hashed words, smoothed similarities, votes, hints, repair, paragraphs
+_VOTES = ", ".join(f"('{k}', " + ", ".join(f"{w}::double, {th}::double" for w, th in v[:3]) + f", {v[3]}::double)" for k, v in VOTES.items())
+_BY_TYPE = list(zip(("t1", "t3", "t5"), ("w1", "w3", "w5"), ("h1", "h3", "h5"), strict=True))
+_SCORE = " + ".join(f"case when {candidate(t, h)} then {w} * (1 - {t}[pos + 1]) else 0.0 end" for t, w, h in _BY_TYPE)
+_CANDIDATE = " or ".join(candidate(t, h) for t, _, h in _BY_TYPE)
+_SMOOTH_TEXTS = SMOOTH.replace(VECTORS, "vectors as (select doc_id as label, pos, v from units)")
+
+
+def segmented(kind: str, hints: str, shortest: str, longest: str) -> str:
+    """CTEs up to ``paras``; ``kind`` is a document's type, the others its settings, in terms of typed and settings."""
+    return f"""{TYPED}, {SETTINGS},
+set_up as (select doc_id, {kind} as text_type, {norm('text')} as normalized, {hints} as hints, {shortest} as shortest, {longest} as longest from typed join settings s on s.text_type = {kind}),
+sentences as (select doc_id, {sents('normalized')} as s from set_up), {ROWS},
+hashes as (select doc_id, pos, {hashed('sentence')} as h from rows),
+units as (select doc_id, pos, case when list_dot_product(h, h) > 0 then list_transform(h, lambda x: x / sqrt(list_dot_product(h, h))) else h end as v from hashes),
+{_SMOOTH_TEXTS},
+votes as (select * from (values {_VOTES}) as v(text_type, w1, h1, w3, h3, w5, h5, least)),
+voted as (select label as doc_id, pos from points join set_up on doc_id = label join votes using (text_type) where ({_CANDIDATE}) and round(0.0::double + {_SCORE}, 9) >= least),
+hinted as (select doc_id, pos from rows join set_up using (doc_id) where hints and pos > 0 and (({_TITLE}) or {_ITEM})),
+cuts as (select doc_id, list(pos order by pos) as b from (select * from voted union select * from hinted) group by doc_id),
+summed as (select doc_id, len(s) as n, s, list_transform(range(0, len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0)) as sums from sentences),
+walk as (select doc_id, sums, b::bigint[] as b, shortest, longest, 0 as k, 0::bigint as start, []::bigint[] as made from cuts join summed using (doc_id) join set_up using (doc_id) where n >= 2
+  union all select doc_id, sums, b, shortest, longest, k + 1, case when {span('start', 'b[k + 1]')} < shortest and shortest > 50 then start else b[k + 1] end,
+    case when {span('start', 'b[k + 1]')} < shortest and shortest > 50 then [] when {span('start', 'b[k + 1]')} > longest and b[k + 1] - start > 2 then [start + (b[k + 1] - start) // 2, b[k + 1]] else [b[k + 1]] end
+  from walk where k < len(b)),
+repaired as (select doc_id, flatten(list(made)) as m from walk group by doc_id),
+ends as (select doc_id, s, n, list_sort([0::bigint] || coalesce(m, []::bigint[]) || [n]) as e, len(coalesce(m, []::bigint[])) as boundary_count from summed left join repaired using (doc_id) where n >= 2),
+ranges as (select doc_id, s, e[i] as a, e[i + 1] as z from ends, unnest(range(1, len(e))) as u(i) where e[i] < e[i + 1]),
+texts as (select doc_id, a, z, {norm("array_to_string(s[a + 1:z], ' ')")} as t from ranges),
+paras as (select doc_id, (row_number() over (partition by doc_id order by a) - 1)::integer as para, trim(t) as text,
+    case when length(t) < 50 then 'title' when regexp_matches(t, '^(?:[•\\-*]|1\\.|2\\.)') then 'list_item' else 'content' end as type,
+    length(t)::integer as length, (z - a)::integer as sentence_count, a::integer as start_idx, z::integer as end_idx, {phrases('t', 3)} as key_phrases from texts where t <> ''
+  union all select doc_id, 0, normalized, 'content', length(normalized)::integer, n::integer, 0, n::integer, {phrases('normalized', 3)} from set_up join summed using (doc_id) where n < 2 and normalized <> '')"""
+
+
+_OWN = segmented("typed.text_type", "use_structure_hints", "min_paragraph_length", "max_paragraph_length")
+_QUALITY = f"""text_vectors as (select doc_id, para, {hashed('text')} as v from paras),
+next_ones as (select doc_id, {cosine('v', 'nv')} as sim from (select *, lead(v) over (partition by doc_id order by para) as nv from text_vectors) where nv is not null),
+same as (select doc_id, avg(sim) as sim from next_ones group by doc_id),
+measured as (select doc_id, count(*) as n, avg(length) as avg_length, stddev_pop(length) as length_std, avg(sentence_count) as avg_sentences, count(*) filter (length < shortest) as short, count(*) filter (length > longest) as long,
+  1 - abs(count(*) filter (type = 'content') / count(*) - 0.8::double) as structure from paras join set_up using (doc_id) join ends using (doc_id) group by doc_id),
+scored as (select *, greatest(0.0::double, least(1.0::double, (1 - 0.1::double * short / n - 0.1::double * long / n) * (1 + coalesce(sim, 0.0) * 0.2::double) * structure * case when n < 2 then 0.8::double when n > 20 then 0.9::double else 1.0::double end)) as score from measured left join same using (doc_id))"""
+O["segment_enhanced"] = f"with recursive {_OWN} select doc_id, text_type, para, text, type, length, sentence_count, start_idx, end_idx, key_phrases from paras join set_up using (doc_id)"
+O["segment_quality"] = f"""with recursive {_OWN}, {_QUALITY}
+select u.doc_id, u.text_type, t.n::integer as sentence_count, e.boundary_count::integer as boundary_count, q.n::integer as paragraph_count, round(q.avg_length, 2) as avg_length, round(q.length_std, 2) as length_std,
+  round(q.avg_sentences, 2) as avg_sentence_count, q.short::integer as too_short_count, q.long::integer as too_long_count, round(case when q.n is not null then coalesce(q.sim, 0.0) end, 3) as semantic_consistency, round(q.structure, 3) as structure_score, round(q.score, 3) as quality_score
+from set_up u join summed t using (doc_id) left join ends e using (doc_id) left join scored q using (doc_id)"""
+O["format_output"] = f"""with recursive {_OWN}, out as (select doc_id, coalesce(array_to_string(list_filter(list({strip('text')} order by para), lambda x: x <> ''), chr(10) || chr(10)), '') as o from paras group by doc_id)
+select doc_id, md5(o) as output_md5, length(o)::integer as n_chars from out"""
+O["segment_forced_dialogue"] = f"""with recursive {segmented("'dialogue'", "true", "min_paragraph_length", "max_paragraph_length")}
+select doc_id, count(*) as n, sum(length)::bigint as chars, sum(sentence_count)::bigint as sentences from paras group by doc_id"""
+_SHORT = segmented("typed.text_type", "use_structure_hints", "50", "500")
+O["segment_multi_task"] = f"""with recursive {_SHORT}, {_QUALITY}, sizes as (select doc_id, count(*) as np from paras group by doc_id)
+select u.doc_id, u.text_type, np::integer as n_paragraphs, round(q.score, 3) as quality_score from set_up u left join sizes using (doc_id) left join scored q using (doc_id)"""
