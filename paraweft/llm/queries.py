@@ -174,8 +174,32 @@ select query_id, rank::integer as rank, vec_id, score from (
 ) where rank <= 5
 """
 
+#: Every pair of documents that shares a shingle, and all that can be reached from each.
+OP10_SQL = r"""
+with recursive words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
+), shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g from words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as u(i) where len(w) > 0
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from shared s join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * s.n >= 80 * (x.n + y.n - s.n)
+), ways as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select doc_id, doc_id as other from documents union select r.doc_id, b.b from reach r join ways b on b.a = r.other
+), least as (
+  select doc_id, min(other) as component_id from reach group by doc_id
+)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join sizes using (doc_id) join least using (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": OP3_SQL,
     "op4_mix_sources": OP4_SQL,
     "op5_exact_top_k": OP5_SQL,
+    "op10_minhash_near_dedup": OP10_SQL,
 }
