@@ -79,8 +79,8 @@ def forest(classes: DataFrame) -> DataFrame:
     )
 
 
-def candidates(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs ``(a, b, hits)`` of classes that some tree brings together; at most a fixed number for each class and tree.
+def candidates(keys: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs ``(a, b, hits)`` of classes, of sizes that can reach ``percent``, that some tree brings together; at most a fixed number for each class and tree.
 
     Every member of a region is paired with the region's three pivots: the one
     with the fewest shingles, the most central one (whose regions have the most
@@ -92,24 +92,27 @@ def candidates(keys: DataFrame, scratch: Scratch) -> DataFrame:
     """
     own = keys.groupBy("region").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min_by("cls", F.struct("n_shingles", "cls")).alias("p_small"),
-        F.min_by("cls", F.xxhash64("cls")).alias("p_any"),
+        F.min(F.struct("n_shingles", "cls")).alias("p_small"),
+        F.min_by(F.struct("n_shingles", "cls"), F.xxhash64("cls")).alias("p_any"),
     )
     held = scratch.write(keys.join(own.where("n > 1"), "region"), "held")
     central = held.groupBy("cls").agg(F.sum("n").alias("central"))
-    best = held.join(central, "cls").groupBy("region").agg(F.max_by("cls", F.struct("central", -F.col("n_shingles"), "cls")).alias("p_central"))
-    to_pivot = held.join(best, "region").select(F.col("cls").alias("x"), F.explode(F.array_distinct(F.array("p_small", "p_any", "p_central"))).alias("y"))
+    best = held.join(central, "cls").groupBy("region").agg(F.max_by(F.struct("n_shingles", "cls"), F.struct("central", -F.col("n_shingles"), "cls")).alias("p_central"))
+    fits = lambda y: (y["cls"] != F.col("cls")) & (100 * F.least(y["n_shingles"], F.col("n_shingles")) >= percent * F.greatest(y["n_shingles"], F.col("n_shingles")))
+    pivots = F.filter(F.array_distinct(F.array("p_small", "p_any", "p_central")), fits)
+    to_pivot = held.join(best, "region").select(F.col("cls").alias("x"), F.explode(F.transform(pivots, lambda y: y["cls"])).alias("y"))
 
     deep = held.where(F.col("n") > DENSE)
     sizes = deep.groupBy("deep").agg(F.count(F.lit(1)).alias("m"))
     slices = F.pmod(F.xxhash64("cls", "deep"), F.ceil(F.col("m") / DENSE))
-    parted = held.where(F.col("n") <= DENSE).select("cls", F.col("region").alias("part"), F.lit(0).cast("long").alias("slice"), "rest").unionByName(
-        deep.join(sizes, "deep").where("m > 1").select("cls", F.col("deep").alias("part"), slices.alias("slice"), "rest")
+    parted = held.where(F.col("n") <= DENSE).select("cls", "n_shingles", F.col("region").alias("part"), F.lit(0).cast("long").alias("slice"), "rest").unionByName(
+        deep.join(sizes, "deep").where("m > 1").select("cls", "n_shingles", F.col("deep").alias("part"), slices.alias("slice"), "rest")
     )
     order = Window.partitionBy("part", "slice").orderBy("rest", "cls")
-    near = parted.select(F.col("cls").alias("x"), F.array(*[F.lead("cls", k).over(order) for k in range(1, NEIGHBOURS + 1)]).alias("ys"))
-    near = near.select("x", F.explode("ys").alias("y")).where("y is not null")
-    pairs = to_pivot.unionByName(near).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    ahead = F.array(*[F.lead(F.struct("n_shingles", "cls"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
+    near = parted.select("cls", "n_shingles", ahead.alias("ys"))
+    near = near.select(F.col("cls").alias("x"), F.explode(F.transform(F.filter("ys", lambda y: y.isNotNull() & fits(y)), lambda y: y["cls"])).alias("y"))
+    pairs = to_pivot.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -139,16 +142,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = scratch.write(named.mapInArrow(_profiles(n, False), f"id {id_type}, n_shingles long, cls binary, sig binary"), "base")
     classes = base.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     keys = scratch.write(forest(classes), "keys")
-    pairs = scratch.write(candidates(keys, scratch), "pairs")
+    pairs = scratch.write(candidates(keys, scratch, percent), "pairs")
     scratch.drop("keys", "held")
 
-    # sizes that differ too much cannot reach the threshold
-    nodes = base.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("size"))
+    nodes = base.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"))
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = scratch.write(nodes.join(ends, "cls"), "wanted")
-    size = wanted.select("cls", "size")
-    pairs = pairs.join(size.select(F.col("cls").alias("a"), F.col("size").alias("size_a")), "a").join(size.select(F.col("cls").alias("b"), F.col("size").alias("size_b")), "b")
-    pairs = scratch.write(pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")), "fitting")
     texts = named.join(wanted.select(F.col("rep").alias("r")), F.col("id").eqNullSafe(F.col("r")), "left_semi")
     sets = texts.mapInArrow(_profiles(n, True), "cls binary, members array<bigint>").groupBy("cls").agg(F.first("members").alias("members"))
     sets = scratch.write(sets.join(wanted.select("cls"), "cls", "left_semi"), "sets")
@@ -166,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_pairs = pairs.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left").where("not coalesce(ra = rb, false)")
     more = scratch.write(confirmed(open_pairs.select("a", "b")), "links-2")
     roots = scratch.write(components(links.unionByName(more), scratch, "cc-2"), "roots-2")
-    scratch.drop("sets", "pairs", "fitting")
+    scratch.drop("sets", "pairs")
 
     reps = nodes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
