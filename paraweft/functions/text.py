@@ -91,5 +91,5 @@ def joined(paragraphs: Column, separator: str = "\n\n") -> Column:
 
 def keywords_present(text: Column, words: list[str]) -> Column:
     """How many different words of the list stand in the text, case aside, as substrings."""
-    low = F.lower(text)
-    return F.size(F.filter(F.array(*[F.lit(w.lower()) for w in dict.fromkeys(words)]), lambda w: F.contains(low, w)))
+    listed = F.array(*[F.lit(w.lower()) for w in dict.fromkeys(words)])
+    return F.get(F.transform(F.array(F.lower(text)), lambda low: F.size(F.filter(listed, lambda w: F.contains(low, w)))), F.lit(0))
