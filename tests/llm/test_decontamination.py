@@ -55,3 +55,14 @@ def test_large_benchmarks_come_in_blocks(spark, docs_of, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 60)
     docs, items = docs_of([ITEM, OTHER, "nothing of that kind here at all today"]), items_of(spark, [(1, ITEM), (2, OTHER)])
     assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, items).collect()) == [(0, 1), (1, 2)]
+
+
+def test_edited_copies_are_found_however_often_they_stand(spark, docs_of):
+    words = [f"w{k}" for k in range(30)]
+    edited = " ".join("new" if k in (4, 14, 24) else w for k, w in enumerate(words))
+    items = items_of(spark, [(1, " ".join(words))])
+    for copies in (9, 100, 1000):
+        for verbatim in (0, 1):
+            docs = docs_of([f"{k} {edited} {k}" for k in range(copies)] + [" ".join(words)] * verbatim + [OTHER])
+            assert contaminated(docs, items).count() == copies + verbatim
+            assert decontaminate(docs, items).count() == 1
