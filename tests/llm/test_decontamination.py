@@ -66,3 +66,38 @@ def test_edited_copies_are_found_however_often_they_stand(spark, docs_of):
             docs = docs_of([f"{k} {edited} {k}" for k in range(copies)] + [" ".join(words)] * verbatim + [OTHER])
             assert contaminated(docs, items).count() == copies + verbatim
             assert decontaminate(docs, items).count() == 1
+
+
+def test_all_alignments_of_the_limit_are_found(spark, docs_of):
+    rng = np.random.default_rng(8)
+    base = [[f"{'abcdef'[i]}{k}" for k in range(n)] for i, n in enumerate((4, 7, 12, 30, 31, 40))]
+    base.append("of the cat of the dog of the cow of the hen of the pig of the fox".split())
+    texts = []
+    for w in base:
+        for step in (2, 3, 4, 5):  # words replaced, put in and left out at even distances
+            texts.append([x if k % step else "new" for k, x in enumerate(w)])
+            texts.append([y for k, x in enumerate(w) for y in ([x, "put"] if k % step == 0 else [x])])
+            texts.append([x for k, x in enumerate(w) if k % step])
+        texts.append([y for x in w for y in (x, "put")])
+        texts.append(w[: len(w) // 2])
+        for _ in range(15):
+            t = []
+            for x in w:
+                t += [[x], [x], [x], ["new"], [], [x, "put"], [x, "in", "put"]][rng.integers(7)]
+            texts.append(["noise"] * rng.integers(3) + t + [str(rng.choice(base[rng.integers(7)])) for _ in range(rng.integers(60))])
+    wanted = {}
+    for d, t in enumerate(texts):
+        for i, w in enumerate(base):
+            score = plain(w, t) / (2 * len(w))
+            if score >= 0.5:
+                wanted[d, i] = score
+    found = contaminated(docs_of([" ".join(t) for t in texts]), items_of(spark, [(i, " ".join(w)) for i, w in enumerate(base)])).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_a_quarter_of_the_words_may_be_replaced(spark, docs_of):
+    words = [f"w{k}" for k in range(30)]
+    docs = docs_of([" ".join("new" if k % 4 == at else w for k, w in enumerate(words)) for at in range(4)] + [OTHER])
+    items = items_of(spark, [(1, " ".join(words))])
+    assert sorted(r.doc_id for r in contaminated(docs, items).collect()) == [0, 1, 2, 3]
+    assert [r.text for r in decontaminate(docs, items).collect()] == [OTHER]
