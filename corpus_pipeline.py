@@ -22,11 +22,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-copies: the smallest id; of rows that repeat it, one."""
-    found = near_duplicates(docs, n=5, percent=80)
-    gone = found.where("cls is not null and not kept").select("doc_id")
-    rest = docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti").select(*COLUMNS)
-    row = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
+    """Keep one row of each group of near-copies: that of the smallest id, null ids last; of equal ids, by the text's hash.
+
+    A row is known by id and text, so what is a copy under an id that repeats, or
+    under a null id, removes nothing else. Of rows that repeat both, one stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("text"))
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    found = near_duplicates(keyed, id_col="key", n=5, percent=80)
+    gone = found.where("cls is not null and not kept").select(F.col("key").alias("gone"))
+    rest = keyed.join(gone, F.col("key") == F.col("gone"), "left_anti")
+    row = Window.partitionBy("key").orderBy("source", "lang")
     return rest.withColumn("row", F.row_number().over(row)).where("row = 1").select(*COLUMNS)
 
 

@@ -24,6 +24,18 @@ def test_every_stage_acts_on_what_the_one_before_kept(spark, sf, tmp_path):
     assert good.join(kept, "doc_id").count() >= 0.97 * good.count() and bad.join(kept, "doc_id").count() <= 0.1 * bad.count()
 
 
+def test_near_dedup_decides_by_row(spark, docs_of):
+    x, y, z, w, v = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyzwv")
+    near = y.replace("y39", "other")
+    rows = [(5, x, "en", "s"), (None, x, "en", "s"), (None, z, "en", "s"), (None, w, "en", "s"), (None, w + " end", "en", "s"), (None, None, "en", "s")]
+    rows += [(0, v, "en", "s"), (1, y, "en", "s"), (1, v, "en", "s"), (2, y, "en", "s"), (2, near, "en", "s"), (2, y, "en", "t")]
+    rows += [(3, "short text of five words", "en", "s"), (3, "short text of five words", "en", "s")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect()]
+    ends = [t for i, t in got if i is None and t and t.startswith("w0")]
+    assert len(ends) == 1
+    assert sorted(((i, t) for i, t in got if t not in ends), key=str) == sorted([(5, x), (None, z), (None, None), (0, v), (1, y), (3, "short text of five words")], key=str)
+
+
 def test_every_operator_has_its_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
