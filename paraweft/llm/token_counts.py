@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paraweft.llm.tokens import Encoder, encoder
+from paraweft.llm.tokens import Proof, encoder
 
 
 def _pieces(path: str):
@@ -25,11 +24,11 @@ def _pieces(path: str):
     return run
 
 
-def _byte_level(path: str, alone):
+def _byte_level(path: str, proof):
     """Arrow function: (text, rest) to (rest, number of tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, alone)
+        enc = encoder(path, proof)
         for batch in batches:
             counts = enc.counts(batch.column(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64())], names=[*batch.schema.names[1:], "n_tokens"])
@@ -40,13 +39,14 @@ def _byte_level(path: str, alone):
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` of each text by the tokenizer file (``.json`` or ``.model``).
 
-    For byte-level BPE, the driver proves once, by encoding each, which
-    vocabulary strings encode alone as one token; the table (hashes of at most
-    the vocabulary) is broadcast. On the executors texts are cut into pre-tokens;
-    those in the table count one each, and only the rest are merged, each
-    distinct one once for as long as a worker remembers it. Texts for which the
-    cut isn't proven equal to the library's go through the library whole, as all
-    do for other tokenizers. No token is added and nothing is cut off; a special
+    For byte-level BPE, the driver proves once, by asking the library, which
+    vocabulary strings encode alone as one token, and the class of every
+    character of the first three planes; both tables (at most the vocabulary and
+    196,608 bytes) are broadcast. On the executors texts are cut into pre-tokens;
+    those that are whole tokens, byte for byte, count one each, and only the rest
+    are merged, each distinct one once for as long as a worker's table holds it.
+    Texts with a character beyond those planes or with the string of an added
+    token go through the library whole, as all do for other tokenizers. No token is added and nothing is cut off; a special
     token's string inside a text is that one token, the library's default.
 
     A null text counts as empty: 0 bytes and tokens. Rows aren't shuffled and
@@ -59,7 +59,6 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     if tokenizer.endswith(".model"):
         out = rows.mapInArrow(_pieces(tokenizer), schema)
     else:
-        first = Encoder(tokenizer)
-        alone = docs.sparkSession.sparkContext.broadcast(first.prove()) if first.plain else docs.sparkSession.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.uint32)))
-        out = rows.mapInArrow(_byte_level(tokenizer, alone), schema)
+        proof = docs.sparkSession.sparkContext.broadcast(Proof(tokenizer))
+        out = rows.mapInArrow(_byte_level(tokenizer, proof), schema)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,10 +1,11 @@
-"""Byte-level BPE ids of many texts: pre-tokens are cut and hashed in NumPy, and each distinct one is encoded once.
+"""Byte-level BPE ids of many texts: pre-tokens are cut in NumPy, whole tokens are looked up and only the rest is merged.
 
 The library named by the tokenizer file makes every id. What is saved is repeated
 work: a pre-token (the pieces that byte-level BPE never merges across) always
-encodes alike, so its ids are remembered. Texts with characters outside a range in
-which the cut is proven equal to the library's go to the library whole, as do
-texts that contain an added token's string.
+encodes alike, so its ids are remembered. Pre-tokens are told apart by their bytes
+(:func:`paraweft.llm.words.identity`); a hash only says where to look. Only texts
+with a character beyond the three planes whose classes are proven, or with an
+added token's string, go to the library whole.
 """
 
 from __future__ import annotations
@@ -19,33 +20,62 @@ import pyarrow.compute as pc
 from paraweft.llm import words as W
 
 _LETTER, _DIGIT, _OTHER, _SPACE = 0, 1, 2, 3
-_CLASS = np.full(256, _OTHER, np.uint8)
-_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
-_CLASS[0x30:0x3A] = _DIGIT
-_CLASS[[0x20, 0x09, 0x0A, 0x0D]] = _SPACE
-#: Bytes that no text cut here may hold: other control bytes, and leads outside U+00C0..U+024F.
-_ODD = np.zeros(256, bool)
-_ODD[[*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F, *range(0xC0, 0xC3), *range(0xCA, 0x100)]] = True
-
-#: Distinct pre-tokens that a worker remembers (about 30 bytes each); beyond it, it starts anew.
-REMEMBER = 4_000_000
-#: The latest of those are also held by the first so many bits of their hashes.
-SLOTS = 18
-
-
-def odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Whether each row holds a byte or character for which the cut below isn't proven."""
-    bad = _ODD[data]
-    times = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
-    bad[:-1] |= times
-    at = np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1
-    out = np.zeros(len(offsets) - 1, bool)
-    out[at] = True
+#: Code points whose classes are proven: the three planes that hold nearly all assigned characters.
+PROVEN = 0x30000
+#: Bits of the number of pieces that a table holds, and ids that a learned piece may have to be held.
+SLOTS, HELD = 18, 8
+
+
+def classes(library) -> np.ndarray:
+    """The class of each proven code point, found by having the library cut it after a letter and after a digit.
+
+    ``a`` and the character are one piece if it is a letter; the character and ``!``
+    are one if it is neither letter, digit nor white space; of the others, those
+    that stay with a digit before them are digits.
+    """
+    cut = library.pre_tokenizer.pre_tokenize_str
+    out = np.full(PROVEN, _SPACE, np.uint8)
+    step = 0x4000
+    for base in range(0, PROVEN, step):
+        points = np.array([c for c in range(base, base + step) if not 0xD800 <= c < 0xE000])
+        ends = np.zeros(4 * len(points) + 1, np.int64)
+        for _, (a, b) in cut("".join(f"a{chr(c)}!\n" for c in points.tolist())):
+            ends[a] = b
+        place = 4 * np.arange(len(points))
+        letter, other = ends[place] == place + 2, ends[place + 1] == place + 3
+        out[points[letter]], out[points[other & ~letter]] = _LETTER, _OTHER
+        rest = points[~letter & ~other]
+        ends = np.zeros(3 * len(rest) + 1, np.int64)
+        for _, (a, b) in cut("".join(f"1{chr(c)}\n" for c in rest.tolist())) if len(rest) else []:
+            ends[a] = b
+        place = 3 * np.arange(len(rest))
+        out[rest[ends[place] == place + 2]] = _DIGIT
+    out[0x20] = _SPACE  # the one character that goes with the ``!`` after it without being of its kind
     return out
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pre-tokens begin, by the rule of byte-level BPE.
+def kinds(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Class of the character that each byte belongs to; 255 beyond the proven ones."""
+    out = table[np.minimum(data, 0x7F)]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int64)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        last = len(data) - 1
+        point = first & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+        for k in (1, 2, 3):
+            more = size > k
+            point[more] = point[more] << 6 | (data[np.minimum(lead[more] + k, last)] & 0x3F)
+        kind = np.where(point < PROVEN, table[np.minimum(point, PROVEN - 1)], 255).astype(np.uint8)
+        out[lead] = kind
+        for k in (1, 2, 3):
+            more = (size > k) & (lead + k <= last)
+            out[lead[more] + k] = kind[more]
+    return out
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin, by the rule of byte-level BPE, from the class of each byte's character.
 
     A run of letters, of digits or of other signs is a piece, with one space
     before it if there is one. Of white space, the last character is parted from
@@ -55,7 +85,6 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    kind = _CLASS[data]
     edge = np.empty(n, bool)
     edge[0] = True
     np.not_equal(kind[1:], kind[:-1], out=edge[1:])
@@ -74,7 +103,10 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     attached[1:] = opens[:-1] & (data[end[:-1] - 1] == 0x20)
     mark = np.zeros(n + 1, bool)
     mark[start[~attached]] = True
-    mark[end[opens] - 1] = True
+    final = end[opens] - 1
+    for _ in range(3):  # the first byte of the last white character
+        final = final - ((data[final] & 0xC0) == 0x80)
+    mark[final] = True
     lone = np.flatnonzero((k == _OTHER) & ~attached & (end - start == 1) & (data[start] == 0x27) & ~ends_row)
     lone = lone[k[np.minimum(lone + 1, len(k) - 1)] == _LETTER]
     if len(lone):
@@ -89,10 +121,53 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark[:n])
 
 
+class Table:
+    """Pieces by the first bits of a hash of their identity; each slot holds one piece and its ids."""
+
+    def __init__(self, held: int, shift: int = 64 - SLOTS):
+        self.shift = np.uint64(shift)
+        self.low, self.high = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.uint64)
+        self.n = np.zeros(1 << SLOTS, np.int32)
+        self.ids = np.zeros((1 << SLOTS, held), np.uint32)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (W.folded(low, high) >> self.shift & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Slot of each piece, -1 where the table doesn't hold it."""
+        at = self._slot(low, high)
+        return np.where((self.low[at] == low) & (self.high[at] == high) & (self.n[at] > 0), at, -1)
+
+    def put(self, low: np.ndarray, high: np.ndarray, n: np.ndarray, ids: np.ndarray, replace: bool) -> np.ndarray:
+        """Hold pieces, in place of what their slots held if ``replace``; returns those that found no slot."""
+        at = self._slot(low, high)
+        if not replace:
+            free = np.flatnonzero(self.n[at] == 0)
+            _, one = np.unique(at[free], return_index=True)
+            taken = free[one]
+        else:
+            _, taken = np.unique(at, return_index=True)
+        self.low[at[taken]], self.high[at[taken]], self.n[at[taken]], self.ids[at[taken]] = low[taken], high[taken], n[taken], ids[taken]
+        return np.setdiff1d(np.arange(len(at)), taken)
+
+
+class Proof:
+    """What is proven of a tokenizer file once, and broadcast: classes of characters, and whole tokens by identity."""
+
+    def __init__(self, path: str):
+        enc = Encoder(path)
+        self.plain = enc.plain
+        none = np.zeros(0, np.uint64)
+        self.table, self.low, self.high, self.ids = np.zeros(0, np.uint8), none, none, np.zeros(0, np.uint32)
+        if self.plain:
+            self.table = classes(enc.library)
+            self.low, self.high, self.ids = enc.whole_tokens()
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file; keeps what it learns for the life of the worker."""
+    """Ids of texts by a tokenizer file; a worker keeps tables of a fixed size (some 30 MB) for its life."""
 
-    def __init__(self, path: str, alone: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, path: str, proof: Proof | None = None):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -103,29 +178,28 @@ class Encoder:
         self.added = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"] or {}
         self.plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and pre.get("add_prefix_space") is False and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
-        self.alone = alone
         self._bytes = None
-        self._forget()
-
-    def _forget(self) -> None:
-        keys, ids = self.alone or (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-        self.keys, self.where = keys, np.arange(len(ids), dtype=np.int64)
-        self.ids, self.size = [ids], len(ids)
-        self.starts = np.arange(len(ids), dtype=np.int64)
-        self.lens = np.ones(len(ids), np.int32)
-        self.flat = ids
-        self.slot_key = np.zeros(1 << SLOTS, np.uint64)
-        self.slot_where = np.full(1 << SLOTS, -1, np.int64)
-
-    def prove(self) -> tuple[np.ndarray, np.ndarray]:
-        """The vocabulary strings that the library encodes alone as one token, by hash, and their ids."""
+        self.whole: list[Table] = []
+        if proof is None or not self.plain:
+            return
+        self.table = proof.table
+        low, high, ids = proof.low, proof.high, proof.ids
+        for shift in (64 - SLOTS, 64 - 2 * SLOTS, 64 - 3 * SLOTS):  # a token whose slot is taken goes to the next table
+            t = Table(1, shift)
+            left = t.put(low, high, np.ones(len(ids), np.int32), ids[:, None], False)
+            low, high, ids = low[left], high[left], ids[left]
+            self.whole.append(t)
+        self.learned = Table(HELD)
+
+    def whole_tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Identity and id of the vocabulary strings that the library encodes alone as one token."""
         size = self.library.get_vocab_size(with_added_tokens=False)
         texts = self.library.decode_batch([[i] for i in range(size)], skip_special_tokens=False)
         texts = [t for t in texts if t and "�" not in t and t not in self.added]
         single = [(t, e.ids[0]) for t, e in zip(texts, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True) if len(e.ids) == 1]
         data, offsets = W.strings(pa.array([t for t, _ in single], pa.string()))
-        keys, first = np.unique(W.hashes(data, offsets[:-1], offsets[1:]), return_index=True)
-        return keys, np.array([i for _, i in single], np.uint32)[first]
+        low, high = W.identity(data, offsets[:-1], offsets[1:])
+        return low, high, np.array([i for _, i in single], np.uint32)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces in one array and the number of each piece's.
@@ -134,7 +208,7 @@ class Encoder:
         again where they were joined, and as tokens tile the bytes, their lengths
         tell whose they are. If a piece's end isn't a token's end, each goes alone.
         """
-        spaced = [len(t) > 1 and t[0] == " " and t[1] != " " and not t.isspace() for t in texts] if self.plain else [False] * len(texts)
+        spaced = [len(t) > 1 and t[0] == " " and t[1] != " " and not t.isspace() for t in texts]
         joined = [t for t, s in zip(texts, spaced, strict=True) if s]
         alone = [e.ids for e in self.library.encode_batch_fast([t for t, s in zip(texts, spaced, strict=True) if not s], add_special_tokens=False)]
         lens = np.zeros(len(texts), np.int32)
@@ -144,7 +218,7 @@ class Encoder:
         done = np.cumsum(self._widths()[one])
         ends = np.cumsum([len(t.encode()) for t in joined])
         at = np.searchsorted(done, ends)
-        if len(joined) and not (done[-1] == ends[-1] and np.array_equal(done[at], ends)):
+        if len(joined) and not (len(done) and done[-1] == ends[-1] and np.array_equal(done[at], ends)):
             got = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             return np.array([i for ids in got for i in ids], np.uint32), np.array(list(map(len, got)), np.int32)
         lens[is_spaced] = np.diff(at + 1, prepend=0)
@@ -162,94 +236,113 @@ class Encoder:
                 self._bytes[i] = len(token)
         return self._bytes
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        flat, lens = self._ids(texts)
-        new = np.arange(len(keys), dtype=np.int64) + len(self.lens)
-        self.starts = np.concatenate([self.starts, self.size + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.size += len(flat)
-        self.ids.append(flat)
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.where = np.insert(self.keys, at, keys), np.insert(self.where, at, new)
-
-    def _known(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Index of what is remembered of each piece: from the slot of its hash if that holds it, else by search."""
-        if len(self.keys) > REMEMBER:
-            self._forget()
-        h = W.hashes(data, begin, end)
-        slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
-        out = self.slot_where[slot]
-        miss = np.flatnonzero((self.slot_key[slot] != h) | (out < 0))
-        if len(miss):
-            keys, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            k = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-            new = np.flatnonzero(self.keys[k] != keys) if len(self.keys) else np.arange(len(keys))
-            if len(new):
-                raw, at = data.tobytes(), miss[first[new]]
-                self._learn(keys[new], [raw[b:e].decode() for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
-                k = np.searchsorted(self.keys, keys)
-            out[miss] = self.where[k][back]
-            self.slot_key[slot[miss]] = h[miss]
-            self.slot_where[slot[miss]] = out[miss]
-        return out
+    def _pieces(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, want: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece and, if wanted, all their ids in order.
+
+        Whole tokens count one by the proven tables; others come from what was
+        learned; each distinct one of the rest is merged by the library, once.
+        """
+        low, high = W.identity(data, begin, end)
+        n, rest = np.ones(len(low), np.int64), np.arange(len(low))
+        first = np.zeros(len(low), np.uint32)
+        for t in self.whole:
+            if not len(rest):
+                break
+            at = t.find(low[rest], high[rest])
+            hit = at >= 0
+            first[rest[hit]] = t.ids[at[hit], 0]
+            rest = rest[~hit]
+        many = []  # (pieces, their lengths, their ids padded or flat)
+        if len(rest):
+            at = self.learned.find(low[rest], high[rest])
+            hit = at >= 0
+            if hit.any():
+                n[rest[hit]] = self.learned.n[at[hit]]
+                if want:  # the table may change below
+                    lens = self.learned.n[at[hit]].astype(np.int64)
+                    many.append((rest[hit], lens, self.learned.ids[at[hit]][np.arange(HELD) < lens[:, None]]))
+            rest = rest[~hit]
+        if len(rest):
+            keys = np.stack([low[rest], high[rest]], 1).view("V16").ravel()
+            _, one, back = np.unique(keys, return_index=True, return_inverse=True)
+            raw, at = data.tobytes(), rest[one]
+            flat, lens = self._ids([raw[b:e].decode() for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            lens = lens.astype(np.int64)
+            heads = np.cumsum(lens) - lens
+            n[rest] = lens[back]
+            if want:
+                of = lens[back]
+                starts = np.cumsum(of) - of
+                many.append((rest, of, flat[np.repeat(heads[back] - starts, of) + np.arange(of.sum())]))
+            fit = np.flatnonzero(lens <= HELD)
+            padded = np.zeros((len(fit), HELD), np.uint32)
+            padded[np.arange(HELD) < lens[fit, None]] = flat[np.repeat(lens <= HELD, lens)]
+            self.learned.put(low[at[fit]], high[at[fit]], lens[fit].astype(np.int32), padded, True)
+        if not want:
+            return n, first[:0]
+        starts = np.cumsum(n) - n
+        ids = np.empty(int(n.sum()), np.uint32)
+        single = np.ones(len(n), bool)
+        for pieces, lens, flat in many:
+            single[pieces] = False
+            ids[np.repeat(starts[pieces] - np.cumsum(lens) + lens, lens) + np.arange(len(flat))] = flat
+        ids[starts[single]] = first[single]
+        return n, ids
 
-    def _split(self, column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows that the library has to encode whole."""
-        whole = odd_rows(data, offsets) if self.plain else np.ones(len(column), bool)
+    def _blocks(self, column: pa.Array, want: bool):
+        """For each block of rows: its range, the row, number and all ids of its pieces, and the rows that go to the library whole."""
+        data, offsets = W.strings(column)
+        special = np.zeros(len(column), bool)
         for token in self.added:
-            whole |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
-        return whole
+            special |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        for i, j in W.blocks(offsets):
+            d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            whole = special[i:j].copy() if self.plain else np.ones(j - i, bool)
+            row, n, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+            if self.plain:
+                kind = kinds(d, self.table)
+                whole[np.searchsorted(o, np.flatnonzero(kind == 255), "right") - 1] = True
+                begin = cut(d, o, kind)
+                row = np.searchsorted(o, begin, "right") - 1
+                use = ~whole[row]
+                end = np.append(begin[1:], len(d))[use] if len(begin) else begin
+                row = row[use]
+                if len(row):
+                    n, ids = self._pieces(d, begin[use], end, want)
+            yield i, j, row, n, ids, np.flatnonzero(whole)
+
+    def _library(self, column: pa.Array, r: int) -> np.ndarray:
+        return np.array(self.library.encode(column[r].as_py() or "", add_special_tokens=False).ids, np.uint32)
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
-        data, offsets = W.strings(column)
         out = np.zeros(len(column), np.int64)
-        whole = self._split(column, data, offsets)
-        for i, j in W.blocks(offsets):
-            d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            begin = cut(d, o)
-            row = np.searchsorted(o, begin, "right") - 1
-            use = ~whole[i:j][row]
-            if use.any():
-                end = np.append(begin[1:], len(d))
-                known = self._known(d, begin[use], end[use])
-                out[i:j] += np.bincount(row[use], self.lens[known], minlength=j - i).astype(np.int64)
-        for r in np.flatnonzero(whole):
-            out[r] = len(self.library.encode(column[int(r)].as_py() or "", add_special_tokens=False).ids)
+        for i, j, row, n, _, whole in self._blocks(column, False):
+            out[i:j] = np.bincount(row, n, minlength=j - i)
+            for r in whole.tolist():
+                out[i + r] = len(self._library(column, i + r))
         return out
 
     def encode(self, column: pa.Array):
-        """Ids of consecutive texts: pairs of all ids of some rows in one array and where each row's begin and the last's end."""
-        data, offsets = W.strings(column)
-        whole = self._split(column, data, offsets)
-        for i, j in W.blocks(offsets):
-            d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            begin = cut(d, o)
-            row = np.searchsorted(o, begin, "right") - 1
-            use = ~whole[i:j][row]
-            begin, end, row = begin[use], np.append(begin[1:], len(d))[use], row[use]
-            known = self._known(d, begin, end)
-            if len(self.flat) < self.size:
-                self.flat = np.concatenate(self.ids)
-                self.ids = [self.flat]
-            lens = self.lens[known].astype(np.int64)
-            starts = np.cumsum(lens) - lens
-            total = int(lens.sum())
-            ids = self.flat[np.repeat(self.starts[known] - starts, lens) + np.arange(total)]
-            heads = np.concatenate([[0], np.cumsum(np.bincount(row, lens, minlength=j - i).astype(np.int64))])
-            if whole[i:j].any():
-                parts = [np.array(self.library.encode(column[i + r].as_py() or "", add_special_tokens=False).ids, np.uint32) if whole[i + r] else ids[heads[r] : heads[r + 1]] for r in range(j - i)]
+        """Ids of consecutive texts: all ids of some rows in one array and where each row's begin and the last's end."""
+        for i, j, row, n, ids, whole in self._blocks(column, True):
+            sizes = np.bincount(row, n, minlength=j - i).astype(np.int64)
+            heads = np.concatenate([[0], np.cumsum(sizes)])
+            if len(whole):
+                parts = [ids[heads[r] : heads[r + 1]] for r in range(j - i)]
+                for r in whole.tolist():
+                    parts[r] = self._library(column, i + r)
                 ids = np.concatenate(parts)
                 heads = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             yield i, j, ids, heads
 
 
-_encoders: dict[tuple, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str, alone=None) -> Encoder:
-    """The worker's encoder of a file; ``alone`` is a broadcast of :meth:`Encoder.prove`."""
-    key = (path, alone is not None)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, alone.value if alone is not None else None)
-    return _encoders[key]
+def encoder(path: str, proof) -> Encoder:
+    """The worker's encoder of a file; ``proof`` is a broadcast :class:`Proof`. Its tables have a fixed size."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path, proof.value)
+    return _encoders[path]

@@ -7,15 +7,18 @@ the same as on code points. No Python string is made for a word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK = 2 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 to 8 bytes of a little-endian load of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a run that are hashed in NumPy; a longer one by the library's digest.
+_STRIDED = 256
 
 #: 1 for bytes that separate words.
 SPACE = np.zeros(256, bool)
@@ -54,20 +57,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n; kept for blocks of the usual size."""
-    if len(_powers[0]) <= n:
-        made = []
-        for b in (_BASE, _INVERSE):
-            p = np.full(n + 1, b, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
-        if n > 4 * BLOCK:
-            return made[0], made[1]
-        _powers[:] = made
-    return _powers[0], _powers[1]
-
-
 def spans(data: np.ndarray, offsets: np.ndarray, stop: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and row of each maximal run of bytes for which ``stop`` is false."""
     inside = ~stop[data]
@@ -85,15 +74,46 @@ def spans(data: np.ndarray, offsets: np.ndarray, stop: np.ndarray = SPACE) -> tu
     return begin, end, np.searchsorted(offsets, begin, "right") - 1
 
 
+def _loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; beyond the end are zeros."""
+    held = np.zeros(len(data) + 24, np.uint8)
+    held[: len(data)] = data
+    return np.ndarray((len(data) + 16,), "<u8", held, strides=(1,))
+
+
+def identity(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each run of bytes: the bytes themselves and their number up to 15, beyond that a 120-bit digest."""
+    size, at = end - begin, _loads(data)
+    low = at[begin] & _FIRST[np.minimum(size, 8)]
+    high = (at[begin + 8] & _FIRST[np.clip(size - 8, 0, 7)]) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56))
+    for i in np.flatnonzero(size > 15):
+        d = hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=15).digest()
+        low[i], high[i] = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little") | (255 << 56)
+    return low, high
+
+
+def folded(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of identities."""
+    return mix(low * _ODD ^ mix(high + _ODD))
+
+
 def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes, equal for equal runs."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    h = (total[end] - total[begin]) * down[begin]
-    return mix(h + mix((end - begin).astype(np.uint64)))
+    """A 64-bit hash of each run of bytes, equal for equal runs.
+
+    Eight bytes after eight are mixed in, each step over the runs that are still
+    longer; runs of more than ``_STRIDED`` bytes are digested.
+    """
+    size, at = end - begin, _loads(data)
+    h = folded(at[begin] & _FIRST[np.minimum(size, 8)], size.astype(np.uint64))
+    rest = np.flatnonzero((size > 8) & (size <= _STRIDED))
+    done = 8
+    while len(rest):
+        h[rest] = mix(h[rest] * _ODD + mix(at[begin[rest] + done] & _FIRST[np.minimum(size[rest] - done, 8)]))
+        done += 8
+        rest = rest[size[rest] > done]
+    for i in np.flatnonzero(size > _STRIDED):
+        h[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
