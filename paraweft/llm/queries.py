@@ -70,7 +70,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judged(docs: DataFrame, sf_dir: str, columns: list[str]) -> DataFrame:
     """Documents judged under their source as host and, within it, their language as path."""
     labels = _table(docs.sparkSession, sf_dir, "labels")
-    return op8.classify(docs, labels, host=F.col("source"), path=F.col("lang"), columns=columns)
+    return op8.classify(docs, labels, sites=[F.col("source"), F.col("lang")], columns=columns)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
