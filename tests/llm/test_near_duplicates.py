@@ -60,6 +60,46 @@ def test_hot_group_of_edited_copies(docs_of):
     assert out == brute(rows, 4)
 
 
+def test_pairs_among_texts_of_one_template(docs_of):
+    """Texts that share a template just under the limit, of which some two share more: all links, none to the rest."""
+    rng = random.Random(3)
+    template = [f"t{k}" for k in range(150)]
+    rows = []
+    for pair in range(200):
+        shared = [f"s{pair}x{k}" for k in range(4)]
+        for side in range(2):
+            own = [f"o{pair}y{side}z{k}" for k in range(16)]
+            rows.append((2 * pair + side, " ".join(template + shared + own)))
+    rng.shuffle(rows)
+    out = got(near_duplicates(docs_of([(i, t, None, "hot") for i, t in rows]), n=4))
+    assert out == brute(rows, 4) and len({c for _, c, _ in out.values()}) == 200
+
+
+def test_two_crowds_near_each_other(docs_of):
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(240):
+        w = list(base)
+        if k % 2:
+            w[40:46] = [f"other{j}" for j in range(6)]
+        for _ in range(rng.randrange(0, 7)):
+            w[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    assert got(near_duplicates(docs_of([(i, t, None, "hot") for i, t in rows]), n=4)) == brute(rows, 4)
+
+
+def test_texts_that_a_weak_hash_takes_for_each_other_stay_apart(docs_of):
+    def woven(k):
+        s = "a"
+        for _ in range(k):
+            s += s.translate(str.maketrans("ab", "ba"))
+        return [s, s.translate(str.maketrans("ab", "ba"))]
+
+    rows = list(enumerate(t for k in (10, 11, 12) for t in woven(k)))
+    assert got(near_duplicates(docs_of([(i, t, "en", "s") for i, t in rows]), n=4)) == {i: (1, i, True) for i, _ in rows}
+
+
 def test_edges(docs_of):
     rows = [(1, None, "en", "s"), (2, "", "en", "s"), (3, " \n ", "en", "s"), (4, "One two", "en", "s"), (5, "one TWO", None, None), (5, "one TWO", None, None), (None, "one two", "en", "s"), (7, "É é", "en", "s")]
     out = near_duplicates(docs_of(rows), n=4).collect()
