@@ -2,8 +2,9 @@
 
 Iterative operators cut their lineage by writing Parquet below
 ``spark.checkpoint.dir``. The setting is read from the session; only where it is
-unset (local tests) is a folder made and set here. Nothing is kept on one
-executor, so a lost executor costs a task retry and no rerun of earlier steps.
+unset and the master is local (tests) is a folder made and set here. Nothing is
+kept on one executor, so a lost executor costs a task retry and no rerun of
+earlier steps. Results read these tables, so they are deleted when the driver's process ends.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; set to a new one if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; set to a new one if unset and local, an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="paraweft-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -26,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_root(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the shared one; the folder is deleted when this process ends."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_quietly, spark, root)
+    return root
+
+
 def _delete_quietly(spark: SparkSession, path: str) -> None:
     try:
         delete(spark, path)
@@ -44,7 +54,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = new_root(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
