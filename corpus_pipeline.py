@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paraweft.llm import queries
 from paraweft.llm.decontamination import decontaminate
 from paraweft.llm.mixing import mixed
 from paraweft.llm.near_duplicates import near_duplicates
-from paraweft.scratch import shared_dir
+from paraweft.scratch import new_root
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,15 +24,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near-copies: that of the smallest id, null ids last; of equal ids, by the text's hash.
 
     A row is known by id and text, so what is a copy under an id that repeats, or
-    under a null id, removes nothing else. Of rows that repeat both, one stays.
+    under a null id, removes nothing else. Of rows that repeat both, the least
+    stays. Only the keys of rows that go or repeat are joined with the texts, and
+    repeats are merged by a minimum, so a row that repeats without end costs no task its memory.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("text"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.sha2("text", 256)).alias("text"))
     keyed = docs.select(*COLUMNS, key.alias("key"))
     found = near_duplicates(keyed, id_col="key", n=5, percent=80)
-    gone = found.where("cls is not null and not kept").select(F.col("key").alias("gone"))
-    rest = keyed.join(gone, F.col("key") == F.col("gone"), "left_anti")
-    row = Window.partitionBy("key").orderBy("source", "lang")
-    return rest.withColumn("row", F.row_number().over(row)).where("row = 1").select(*COLUMNS)
+    marks = found.groupBy("key").agg(F.bool_and("kept").alias("stays"), F.count(F.lit(1)).alias("times")).where("not stays or times > 1")
+    marked = keyed.join(marks, "key", "left")
+    once = marked.where("times is null").select(*COLUMNS)
+    again = marked.where("stays").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return once.unionByName(again)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    root = new_root(spark, "corpus")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
