@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from paraweft.llm import words as W
 
-#: Words that an item must have.
+#: Words from which an item is aligned; a shorter one must stand in a text whole.
 SEED = 4
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Characters of benchmark text in a block; a larger benchmark is taken in several blocks.
@@ -76,8 +76,31 @@ class Index:
         by_item = np.argsort(row[self.places] * len(self.grams) + key, kind="stable")
         self.own_keys, self.own_at = key[by_item].astype(np.int32), by_item.astype(np.int32)
         self.own = np.searchsorted(row[self.places[by_item]], np.arange(len(ids) + 1))
+        #: for each number of words below SEED, the items of that many by the hash of all their words
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in range(1, SEED):
+            items = np.flatnonzero(size == k)
+            if len(items):
+                keys = W.sequence([h[self.starts[items] + i] for i in range(k)])
+                by_key = np.argsort(keys, kind="stable")
+                self.short[k] = keys[by_key], items[by_key]
         self.rare(np.zeros(len(self.grams), np.int64))
 
+    def whole(self, h: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, tuple[int, float, int, int]]]:
+        """(row, match) of the short items that stand in texts, at the first place of each."""
+        for k, (keys, items) in self.short.items():
+            grams, first = W.ngrams(h, row, k)
+            lo, hi = np.searchsorted(keys, grams), np.searchsorted(keys, grams, "right")
+            reps = hi - lo
+            if not reps.sum():
+                continue
+            item = items[np.repeat(lo - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())]
+            at = np.repeat(first, reps)
+            _, once = np.unique(row[at] * len(self.ids) + item, return_index=True)
+            for i in once.tolist():
+                r = int(row[at[i]])
+                yield r, (int(item[i]), 1.0, int(at[i] - np.searchsorted(row, r)), k)
+
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of ``grams`` are in the index, and where."""
         at = np.flatnonzero(self.bits[(grams >> np.uint64(42)).astype(np.int64)])
@@ -206,6 +229,8 @@ def _frequency(shared):
 
 def _found(index: Index, batch: pa.RecordBatch, column: int, least: float) -> Iterator[tuple[int, tuple[int, float, int, int]]]:
     for i, h, row in _each(batch, column):
+        for r, match in index.whole(h, row):
+            yield i + r, match
         grams, first, near = _pairs(h, row)
         at, k = index.find(grams)
         order = np.argsort(first[at], kind="stable")
@@ -262,7 +287,7 @@ def _indexes(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, ite
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
         rows.sort(key=lambda r: (r[0] is None, r[0], r[1]))
         index = Index([r[0] for r in rows], [r[1] for r in rows], least)
-        if not len(index.grams):
+        if not len(index.grams) and not index.short:
             continue
         shared = spark.sparkContext.broadcast(index)
         counts = docs.select(_lower(docs, text_col)).mapInArrow(_frequency(shared), "gram long, df long").groupBy("gram").agg(F.sum("df")).collect()
@@ -289,8 +314,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     The benchmark is broadcast in blocks of at most about ``BLOCK_CHARS``
     characters; a larger one costs more passes over the documents. Documents are
-    never shuffled. Null and empty texts match nothing, nor do items of fewer
-    than ``SEED`` words; a null item id is carried like any other. Rows that
+    never shuffled. Null and empty texts and items match nothing; an item of fewer
+    than ``SEED`` words must stand in a text whole, its words one after another, and
+    scores 1; a null item id is carried like any other. Rows that
     repeat give repeated results, items that repeat are each reported. An empty
     table on either side gives an empty result.
     """

@@ -101,3 +101,11 @@ def test_a_quarter_of_the_words_may_be_replaced(spark, docs_of):
     items = items_of(spark, [(1, " ".join(words))])
     assert sorted(r.doc_id for r in contaminated(docs, items).collect()) == [0, 1, 2, 3]
     assert [r.text for r in decontaminate(docs, items).collect()] == [OTHER]
+
+
+def test_short_items_must_stand_whole(spark, docs_of):
+    items = items_of(spark, [(1, "Forty-two"), (2, "blue"), (3, "to be. Or"), (4, "blue"), (5, "..."), (6, "forty three")])
+    texts = ["the answer is forty  two, forty two", "blue, blue", "to be or not", "forty and two", "to be", None, ""]
+    out = {(r.doc_id, r.item_id): (r.score, r.first_word, r.n_words) for r in contaminated(docs_of(texts), items).collect()}
+    assert out == {(0, 1): (1.0, 3, 2), (1, 2): (1.0, 0, 1), (1, 4): (1.0, 0, 1), (2, 3): (1.0, 0, 3)}
+    assert sorted(r.doc_id for r in decontaminate(docs_of(texts), items).collect()) == [3, 4, 5, 6]
