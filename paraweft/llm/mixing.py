@@ -9,15 +9,16 @@ from paraweft.scratch import Scratch
 #: Sources up to which their plan (some 100 bytes each) is broadcast; beyond it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
+#: Leading hex digits of a key by which a source is summed at each step; what is left after them is summed key by key.
+STEPS = (3, 3, 3)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """Adds: grp, a non-null name of the source; size in words; key, the hash that orders a source; bucket, its first digits."""
+    """Adds: grp, a non-null name of the source; size in words; key, the hash that orders a source."""
     source = F.col(source_col).cast("string")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    made = docs.withColumns({"\x01grp": F.coalesce(F.concat(F.lit("s"), source), F.lit("n")), "\x01size": size, "\x01key": key})
-    return made.withColumn("\x01bucket", F.substring("\x01key", 1, 3))
+    return docs.withColumns({"\x01grp": F.coalesce(F.concat(F.lit("s"), source), F.lit("n")), "\x01size": size, "\x01key": key})
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], ratio: float, epochs: int) -> DataFrame:
@@ -41,25 +42,39 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], ratio: float, epochs: in
     return ranked.select("grp", "total", F.least(F.lit(float(epochs)) * F.col("total"), F.col("weight") * F.col("level")).alias("target"))
 
 
-def cuts(rows: DataFrame, weights: tuple[int, ...], ratio: float, epochs: int) -> DataFrame:
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows of which there is one a source: broadcast up to ``BROADCAST_SOURCES``."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_SOURCES else rows
+
+
+def cuts(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...], ratio: float, epochs: int) -> DataFrame:
     """For each source: total, target, whole epochs, and the key at which the last epoch is cut, with the words left for it.
 
-    Sums by bucket of keys and their prefix sums find the bucket of the cut;
-    only that bucket's keys are then summed one by one. A source of any size is
-    summed in 4096 buckets before anything is ordered.
+    Keys are ordered by ranges: words are summed by the first digits of the keys,
+    prefix sums of those (at most 4096 a source) find the range of the cut, and that
+    range alone is summed by the next digits, and so on for ``STEPS``; only the
+    keys that share all those digits, one in 2**36 of a source, are then summed one
+    by one. Windows over all sources hold one row a source.
     """
-    buckets = rows.groupBy("grp", "bucket").agg(F.sum("size").alias("s"))
-    plan = targets(buckets.groupBy("grp").agg(F.sum("s").alias("total")), weights, ratio, epochs)
+    width = STEPS[0]
+    sums = scratch.write(rows.groupBy("grp", F.substring("key", 1, width).alias("range")).agg(F.sum("size").alias("s")), "sums")
+    plan = targets(sums.groupBy("grp").agg(F.sum("s").alias("total")), weights, ratio, epochs)
     whole = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("whole", whole).withColumn("left_over", F.floor("target").cast("long") - F.col("whole") * F.col("total"))
-    running = Window.partitionBy("grp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = buckets.withColumn("upto", F.sum("s").over(running)).join(plan, "grp").where("upto - s <= left_over and left_over < upto")
-    at = at.select("grp", "bucket", (F.col("left_over") - F.col("upto") + F.col("s")).alias("rest"))
-    keys = rows.join(at, ["grp", "bucket"]).groupBy("grp", "key", "rest").agg(F.sum("size").alias("g"))
-    running = Window.partitionBy("grp").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = keys.withColumn("upto", F.sum("g").over(running)).where("upto - g <= rest and rest < upto")
-    cut = cut.select("grp", F.col("key").alias("cut_key"), (F.col("rest") - F.col("upto") + F.col("g")).alias("cut_words"), F.col("g").alias("cut_size"))
-    return plan.select("grp", "total", "target", "whole").join(cut, "grp", "left")
+    plan = scratch.write(plan.withColumn("whole", whole).withColumn("rest", F.floor("target").cast("long") - F.col("whole") * F.col("total")), "targets")
+    running = Window.partitionBy("grp").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def cut(sums: DataFrame, rest: DataFrame) -> DataFrame:
+        """The range of each source in which its sums pass what is left, and what is left there."""
+        at = sums.withColumn("upto", F.sum("s").over(running)).join(_few(rest), "grp").where("upto - s <= rest and rest < upto")
+        return at.select("grp", "range", (F.col("rest") - F.col("upto") + F.col("s")).alias("rest"), "s")
+
+    at = scratch.write(cut(sums, plan.select("grp", "rest")), "at-0")
+    for k, more in enumerate((*STEPS[1:], None), 1):
+        inside = rows.withColumn("prefix", F.substring("key", 1, width)).join(_few(at.select("grp", F.col("range").alias("prefix"))), ["grp", "prefix"])
+        width = width + more if more else 32
+        sums = inside.groupBy("grp", F.substring("key", 1, width).alias("range")).agg(F.sum("size").alias("s"))
+        at = scratch.write(cut(sums, at.select("grp", "rest")), f"at-{k}")
+    return plan.select("grp", "total", "target", "whole").join(at.select("grp", F.col("range").alias("cut_key"), F.col("rest").alias("cut_words"), F.col("s").alias("cut_size")), "grp", "left")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, epochs: int = 2, seed: int = 0) -> DataFrame:
@@ -79,8 +94,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     docs = docs.select(*[docs[c] for c in docs.columns if c not in names])
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = _rows(docs, id_col, text_col, source_col, seed)
-    narrow = scratch.write(rows.select(*[F.col(f"\x01{c}").alias(c) for c in ("grp", "size", "key", "bucket")]), "sizes")
-    plan = scratch.write(cuts(narrow, weights, ratio, epochs), "plan")
+    narrow = scratch.write(rows.select(*[F.col(f"\x01{c}").alias(c) for c in ("grp", "size", "key")]), "sizes")
+    plan = scratch.write(cuts(narrow, scratch, weights, ratio, epochs), "plan")
     plan = plan.select(*[F.col(c).alias(f"\x01{c}") for c in plan.columns])
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
