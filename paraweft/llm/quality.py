@@ -37,18 +37,13 @@ _LINE[10] = True
 
 
 def _distinct(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Distinct values among those of each row."""
-    if not len(h):
-        return np.zeros(rows)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return np.bincount(row[new], minlength=rows).astype(float)
-
-
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of ``FEATURES`` for each text: shares between 0 and 1, besides lengths."""
+    """Distinct values among those of each row, told apart by 40 bits of their hashes."""
+    key = W.distinct((row.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+    return np.bincount((key >> np.uint64(40)).astype(np.int64), minlength=rows).astype(float)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, words: tuple) -> np.ndarray:
+    """One row of ``FEATURES`` for each text, given with its words: shares between 0 and 1, besides lengths."""
     rows = len(offsets) - 1
     n = np.diff(offsets).astype(float)
 
@@ -58,7 +53,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     letter, space = _LETTER[data], W.SPACE[data]
     letters, capitals, digits, spaces = total(letter), total(_CAPITAL[data]), total(_DIGIT[data]), total(space)
-    h, row, begin, end = W.words(data, offsets)
+    h, row, begin, end = words
     words = np.bincount(row, minlength=rows).astype(float)
     pairs, first = W.ngrams(h, row, 2)
     same = h[first] == h[np.minimum(first + 1, len(h) - 1)] if len(first) else np.zeros(0, bool)
@@ -91,12 +86,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     )
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grams(rows: int, words: tuple) -> tuple[np.ndarray, np.ndarray]:
     """The distinct bins of each text's words and word pairs in one array, and where each text's begin and the last's end."""
-    rows = len(offsets) - 1
-    h, row, _, _ = W.words(data, offsets)
+    h, row, _, _ = words
     pairs, first = W.ngrams(h, row, 2)
-    code = np.unique(np.concatenate([row * BINS + (h % BINS).astype(np.int64), row[first] * BINS + (pairs % BINS).astype(np.int64)]))
+    code = W.distinct(np.concatenate([row * BINS + (h % BINS).astype(np.int64), row[first] * BINS + (pairs % BINS).astype(np.int64)]))
     return code % BINS, np.searchsorted(code, np.arange(rows + 1) * BINS)
 
 
@@ -150,7 +144,8 @@ class Model:
 
     def odds(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log odds of good quality by the text alone."""
-        x = np.concatenate([features(data, offsets), content(self.ratio, *grams(data, offsets))[:, None]], axis=1)
+        words = W.words(data, offsets)
+        x = np.concatenate([features(data, offsets, words), content(self.ratio, *grams(len(offsets) - 1, words))[:, None]], axis=1)
         return np.clip(expand(x) @ self.weights, -12, 12)
 
 
@@ -192,9 +187,10 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = W.strings(batch.column(2))
         for i, j in W.blocks(offsets):
             d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            bins, starts = grams(d, o)
+            words = W.words(d, o)
+            bins, starts = grams(j - i, words)
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(bins.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(list(features(d, o)), pa.list_(pa.float64())), lists], names=["id", "y", "x", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(list(features(d, o, words)), pa.list_(pa.float64())), lists], names=["id", "y", "x", "bins"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:

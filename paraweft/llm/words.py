@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Masks of the first 0 to 8 bytes of a little-endian load of eight.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -50,6 +50,14 @@ def blocks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by sorting."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit (the splitmix64 finaliser)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -65,7 +73,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, stop: np.ndarray = SPACE) -> tu
     if len(data):
         edge[0], edge[-1] = inside[0], inside[-1]
     cuts = offsets[1:-1]
-    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
+    cuts = distinct(cuts[(cuts > 0) & (cuts < len(data))])
     joined = cuts[inside[cuts] & inside[cuts - 1]]  # runs that only the end of a row parts
     at = np.flatnonzero(edge)
     if len(joined):
@@ -158,6 +166,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     order = np.argsort(of, kind="stable")
     grams, of = grams[order], of[order]
     cut = np.searchsorted(of, np.arange(rows + 1))
-    parts = [np.unique(grams[cut[i] : cut[i + 1]]) for i in range(rows)]
+    parts = [distinct(grams[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
     sizes = np.array([len(p) for p in parts], np.int64)
     return (np.concatenate(parts) if parts else grams), np.concatenate([[0], np.cumsum(sizes)])

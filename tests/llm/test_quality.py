@@ -7,17 +7,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from paraweft.llm.quality import FEATURES, STRONGEST, WEAKEST, classify, features, fit, train, url_levels
-from paraweft.llm.words import strings
+from paraweft.llm.words import strings, words
 
 import pyarrow as pa
 
 
 def texts(n=200):
     rng = random.Random(3)
-    words = ["river", "stone", "about", "never", "small", "green", "house", "walked", "because", "with"]
+    pool = ["river", "stone", "about", "never", "small", "green", "house", "walked", "because", "with"]
     out = []
     for k in range(n):
-        w = [rng.choice(words) for _ in range(rng.randint(15, 60))]
+        w = [rng.choice(pool) for _ in range(rng.randint(15, 60))]
         if k % 4 == 0:
             w = [x.upper() + "!!" for x in w] if k % 8 else ["buy%%%"] * len(w)
         out.append((k, " ".join(w), "en", f"host{k % 3}"))
@@ -115,7 +115,7 @@ def test_edges(spark, docs_of):
 
 def test_features_of_known_texts():
     data, offsets = strings(pa.array(["aa aa bb", "", None, "AB!!\nAB!!"]))
-    x = dict(zip(FEATURES, features(data, offsets).T, strict=True))
+    x = dict(zip(FEATURES, features(data, offsets, words(data, offsets)).T, strict=True))
     assert np.allclose(x["distinct_words"], [2 / 3, 1, 1, 0.5]) and np.allclose(x["repeated_word"], [0.5, 0, 0, 1])
     assert np.allclose(x["capitals"], [0, 0, 0, 1]) and np.allclose(x["symbol_tails"], [0, 0, 0, 1]) and np.allclose(x["distinct_lines"], [1, 1, 1, 0.5])
 
