@@ -22,8 +22,8 @@ from paraweft.llm import words as W
 _LETTER, _DIGIT, _OTHER, _SPACE = 0, 1, 2, 3
 #: Code points whose classes are proven: the three planes that hold nearly all assigned characters.
 PROVEN = 0x30000
-#: Bits of the number of pieces that a table holds, and ids that a learned piece may have to be held.
-SLOTS, HELD = 18, 8
+#: Bits of the number of slots for whole tokens and for learned pieces, and ids that a learned piece may have to be held.
+SLOTS, LEARNED, HELD = 18, 20, 6
 
 
 def classes(library) -> np.ndarray:
@@ -122,31 +122,28 @@ def cut(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Pieces by the first bits of a hash of their identity; each slot holds one piece and its ids."""
+    """Pieces by some bits of a hash of their identity; each slot holds one piece and its ids."""
 
-    def __init__(self, held: int, shift: int = 64 - SLOTS):
-        self.shift = np.uint64(shift)
-        self.low, self.high = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.uint64)
-        self.n = np.zeros(1 << SLOTS, np.int32)
-        self.ids = np.zeros((1 << SLOTS, held), np.uint32)
+    def __init__(self, bits: int, held: int, kind: type, shift: int):
+        self.shift, self.mask = np.uint64(shift), np.uint64((1 << bits) - 1)
+        self.low, self.high = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.n = np.zeros(1 << bits, np.uint8)
+        self.ids = np.zeros((1 << bits, held), kind)
 
-    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return (W.folded(low, high) >> self.shift & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> self.shift & self.mask).astype(np.int64)
 
-    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Slot of each piece, -1 where the table doesn't hold it."""
-        at = self._slot(low, high)
-        return np.where((self.low[at] == low) & (self.high[at] == high) & (self.n[at] > 0), at, -1)
+    def find(self, low: np.ndarray, high: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each piece, and whether it holds the piece."""
+        at = self._slot(h)
+        return at, (self.low[at] == low) & (self.high[at] == high) & (self.n[at] > 0)
 
-    def put(self, low: np.ndarray, high: np.ndarray, n: np.ndarray, ids: np.ndarray, replace: bool) -> np.ndarray:
+    def put(self, low: np.ndarray, high: np.ndarray, h: np.ndarray, n: np.ndarray, ids: np.ndarray, replace: bool) -> np.ndarray:
         """Hold pieces, in place of what their slots held if ``replace``; returns those that found no slot."""
-        at = self._slot(low, high)
-        if not replace:
-            free = np.flatnonzero(self.n[at] == 0)
-            _, one = np.unique(at[free], return_index=True)
-            taken = free[one]
-        else:
-            _, taken = np.unique(at, return_index=True)
+        at = self._slot(h)
+        free = np.arange(len(at)) if replace else np.flatnonzero(self.n[at] == 0)
+        _, one = np.unique(at[free], return_index=True)
+        taken = free[one]
         self.low[at[taken]], self.high[at[taken]], self.n[at[taken]], self.ids[at[taken]] = low[taken], high[taken], n[taken], ids[taken]
         return np.setdiff1d(np.arange(len(at)), taken)
 
@@ -165,7 +162,7 @@ class Proof:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; a worker keeps tables of a fixed size (some 30 MB) for its life."""
+    """Ids of texts by a tokenizer file; a worker keeps tables of a fixed size (some 45 MB) for its life."""
 
     def __init__(self, path: str, proof: Proof | None = None):
         from tokenizers import Tokenizer
@@ -185,11 +182,12 @@ class Encoder:
         self.table = proof.table
         low, high, ids = proof.low, proof.high, proof.ids
         for shift in (64 - SLOTS, 64 - 2 * SLOTS, 64 - 3 * SLOTS):  # a token whose slot is taken goes to the next table
-            t = Table(1, shift)
-            left = t.put(low, high, np.ones(len(ids), np.int32), ids[:, None], False)
+            t = Table(SLOTS, 1, np.uint32, shift)
+            left = t.put(low, high, W.folded(low, high), np.ones(len(ids), np.uint8), ids[:, None], False)
             low, high, ids = low[left], high[left], ids[left]
             self.whole.append(t)
-        self.learned = Table(HELD)
+        small = self.library.get_vocab_size() <= 1 << 16
+        self.learned = Table(LEARNED, HELD, np.uint16 if small else np.uint32, 64 - LEARNED)
 
     def whole_tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Identity and id of the vocabulary strings that the library encodes alone as one token."""
@@ -243,41 +241,36 @@ class Encoder:
         learned; each distinct one of the rest is merged by the library, once.
         """
         low, high = W.identity(data, begin, end)
+        h = W.folded(low, high)
         n, rest = np.ones(len(low), np.int64), np.arange(len(low))
         first = np.zeros(len(low), np.uint32)
         for t in self.whole:
-            if not len(rest):
-                break
-            at = t.find(low[rest], high[rest])
-            hit = at >= 0
+            at, hit = t.find(low[rest], high[rest], h[rest])
             first[rest[hit]] = t.ids[at[hit], 0]
             rest = rest[~hit]
-        many = []  # (pieces, their lengths, their ids padded or flat)
+        many = []  # pieces, their lengths and all their ids
+        at, hit = self.learned.find(low[rest], high[rest], h[rest])
+        lens = self.learned.n[at[hit]].astype(np.int64)
+        n[rest[hit]] = lens
+        if want:
+            many.append((rest[hit], lens, self.learned.ids[at[hit]][np.arange(HELD) < lens[:, None]]))
+        rest = rest[~hit]
         if len(rest):
-            at = self.learned.find(low[rest], high[rest])
-            hit = at >= 0
-            if hit.any():
-                n[rest[hit]] = self.learned.n[at[hit]]
-                if want:  # the table may change below
-                    lens = self.learned.n[at[hit]].astype(np.int64)
-                    many.append((rest[hit], lens, self.learned.ids[at[hit]][np.arange(HELD) < lens[:, None]]))
-            rest = rest[~hit]
-        if len(rest):
-            keys = np.stack([low[rest], high[rest]], 1).view("V16").ravel()
-            _, one, back = np.unique(keys, return_index=True, return_inverse=True)
-            raw, at = data.tobytes(), rest[one]
-            flat, lens = self._ids([raw[b:e].decode() for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            order = rest[np.lexsort((low[rest], high[rest]))]
+            new = np.append(True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]]))
+            one, back = order[new], np.cumsum(new) - 1
+            raw = data.tobytes()
+            flat, lens = self._ids([raw[b:e].decode() for b, e in zip(begin[one].tolist(), end[one].tolist(), strict=True)])
             lens = lens.astype(np.int64)
-            heads = np.cumsum(lens) - lens
-            n[rest] = lens[back]
+            heads, of = np.cumsum(lens) - lens, lens[back]
+            n[order] = of
             if want:
-                of = lens[back]
                 starts = np.cumsum(of) - of
-                many.append((rest, of, flat[np.repeat(heads[back] - starts, of) + np.arange(of.sum())]))
+                many.append((order, of, flat[np.repeat(heads[back] - starts, of) + np.arange(of.sum())]))
             fit = np.flatnonzero(lens <= HELD)
             padded = np.zeros((len(fit), HELD), np.uint32)
             padded[np.arange(HELD) < lens[fit, None]] = flat[np.repeat(lens <= HELD, lens)]
-            self.learned.put(low[at[fit]], high[at[fit]], lens[fit].astype(np.int32), padded, True)
+            self.learned.put(low[one[fit]], high[one[fit]], h[one[fit]], lens[fit], padded, True)
         if not want:
             return n, first[:0]
         starts = np.cumsum(n) - n
