@@ -164,10 +164,12 @@ from scored where dice >= 0.8 group by doc_id, license
 OP5_SQL = """
 with whole as (
   select vec_id, [floor(256::double * x::double)::bigint for x in embedding] as v from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), queries as (
+  select vec_id, min(v) as v from whole where vec_id % 50 = 0 group by vec_id
 ), scored as (
   select q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score
-  from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+  from queries q join whole c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
 )
 select query_id, rank::integer as rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
