@@ -26,17 +26,23 @@ NEWS = (
     "消息 新闻 事件 情况 问题 措施 政策 决定"
 ).split()
 
-# Keywords of novels that are used unless a caller passes a list of their own. The full list of this
-# kind is longer than a table in code should be; see the parameter novel_keywords of operators.classify.detect_text_type.
+# Keywords of novels: descriptions, expressions, moods, looks, characters, speech, time, comparisons,
+# actions, thoughts, scenes, and what web novels are about.
 NOVEL = (
     "心中 眼中 脸上 手中 身边 面前 背后 心里 眼里 怀中 耳边 唇边 眉头 眼角 嘴角 指尖 掌心 胸口 肩膀 "
     "笑容 微笑 苦笑 冷笑 轻笑 大笑 皱眉 蹙眉 点头 摇头 叹息 叹气 深呼吸 沉默 无语 哽咽 流泪 哭泣 "
     "温柔 冷漠 愤怒 喜悦 悲伤 恐惧 惊讶 疑惑 紧张 兴奋 失望 绝望 希望 欣喜 忧伤 痛苦 快乐 满足 不安 焦虑 "
+    "美丽 漂亮 英俊 帅气 可爱 清秀 俊美 绝色 倾城 出众 优雅 高贵 神秘 魅力 迷人 动人 醉人 惊艳 "
+    "强大 弱小 勇敢 胆怯 聪明 愚蠢 善良 邪恶 单纯 复杂 天真 成熟 冷静 冲动 理智 感性 坚强 脆弱 "
     "她说 他说 我说 说道 道 回答 询问 低语 轻声 大声 喃喃 呢喃 嘀咕 嘟囔 开口 启唇 张嘴 闭嘴 言道 "
     "突然 忽然 瞬间 片刻 许久 良久 半晌 刹那 顷刻 霎时 一瞬 转眼 眨眼 不久 稍后 随即 接着 然后 紧接着 "
-    "凝视 注视 端详 打量 扫视 环顾 回眸 侧目 瞥见 窥视 转身 回头 伸手 抬手 挥手 握拳 拥抱 推开 "
-    "思考 思索 沉思 犹豫 迟疑 决定 恍然 明白 理解 困惑 担心 放心 "
-    "系统 任务 升级 等级 经验 技能 修为 境界 功法 灵力 师父 师兄 长老 宗主 掌门 弟子 门派 家族"
+    "宛如 仿佛 好似 犹如 就像 似乎 看起来 听起来 感觉像 如同 恰似 正如 好比 宛若 形如 状如 "
+    "凝视 注视 端详 打量 扫视 环顾 回眸 侧目 瞥见 窥视 踱步 漫步 疾走 奔跑 冲向 走向 靠近 远离 转身 回头 "
+    "伸手 抬手 挥手 摆手 握拳 松手 抚摸 轻抚 拥抱 推开 "
+    "思考 思索 沉思 深思 琢磨 考虑 犹豫 迟疑 决定 下定决心 恍然 明白 理解 困惑 疑惑 担心 担忧 放心 安心 "
+    "房间 卧室 客厅 书房 厨房 花园 庭院 阳台 窗边 门口 街道 小巷 广场 公园 咖啡厅 餐厅 学校 办公室 "
+    "系统 任务 升级 等级 经验 技能 属性 装备 道具 背包 修为 境界 功法 武技 灵力 法力 真气 内力 丹药 宝物 "
+    "师父 师兄 师姐 长老 宗主 掌门 弟子 门派 宗门 家族"
 ).split()
 
 # Patterns of code.
@@ -53,6 +59,9 @@ CODE = [
     r"\[\s*\w+\s*,\s*\w+\s*\]",
 ]
 
+#: What a text must hold for each of these patterns to match.
+CODE_NEEDS = ["def", "class", "import", "import", "```", "`", "(", "=", "{", "["]
+
 # Patterns of dialogue, lines anchored.
 DIALOGUE = [
     r'"[^\n]*?"',

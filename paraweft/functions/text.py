@@ -89,7 +89,26 @@ def joined(paragraphs: Column, separator: str = "\n\n") -> Column:
     return F.array_join(F.filter(F.transform(paragraphs, lambda p: F.regexp_replace(p, strip, "")), lambda p: p != ""), separator)
 
 
+def has_chinese(text: Column) -> Column:
+    """Whether a character of U+4E00..U+9FFF stands in the text."""
+    return text.rlike(r"[\x{4E00}-\x{9FFF}]")
+
+
+def where_chinese(text: Column, number: Column) -> Column:
+    """A count that is 0 for every text without such a character, and is not made for those."""
+    return F.when(~has_chinese(text), F.lit(0)).otherwise(number)
+
+
 def keywords_present(text: Column, words: list[str]) -> Column:
     """How many different words of the list stand in the text, case aside, as substrings."""
-    listed = F.array(*[F.lit(w.lower()) for w in dict.fromkeys(words)])
-    return F.get(F.transform(F.array(F.lower(text)), lambda low: F.size(F.filter(listed, lambda w: F.contains(low, w)))), F.lit(0))
+    words = [w.lower() for w in dict.fromkeys(words)]
+    chinese = [w for w in words if any("\u4e00" <= c <= "\u9fff" for c in w)]
+    other = [w for w in words if w not in chinese]
+
+    def among(some: list[str]) -> Column:
+        listed = F.array(*map(F.lit, some))
+        return F.get(F.transform(F.array(F.lower(text)), lambda low: F.size(F.filter(listed, lambda w: F.contains(low, w)))), F.lit(0))
+
+    if not chinese or not other:
+        return where_chinese(text, among(words)) if chinese else among(words)
+    return among(other) + where_chinese(text, among(chinese))

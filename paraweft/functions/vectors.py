@@ -23,7 +23,8 @@ def hashed(sentence: Column, dimensions: int = 64) -> Column:
     words = F.regexp_extract_all(F.lower(sentence), F.lit(WORD), F.lit(0))
     buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dimensions)).cast("int"))
     zero = F.array_repeat(F.lit(0.0), dimensions)
-    counts = let(buckets, lambda bs: F.when(F.size(bs) > 0, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(bs, lambda b: b == d)).cast("double"))).otherwise(zero))
+    places = F.array(*[F.lit(d) for d in range(dimensions)])
+    counts = let(buckets, lambda bs: F.when(F.size(bs) > 0, F.transform(places, lambda d: (F.size(bs) - F.size(F.array_remove(bs, d))).cast("double"))).otherwise(zero))
     return unit(counts)
 
 
@@ -63,21 +64,54 @@ def adjacent(vectors: Column) -> Column:
     return let(vectors, lambda v: F.when(F.size(v) > 1, F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), cosine)).otherwise(none))
 
 
-def at_scale(vectors: Column, scale: int) -> Column:
-    """Cosine at each gap i of the means of vectors i - h to i and i to i + h, h half the scale; both include i. Scale 1 is :func:`adjacent`."""
-    if scale == 1:
-        return adjacent(vectors)
-    h = scale // 2
+#: Gaps up to which the dot products of vectors and those after them are made: what the widest scale needs.
+BANDS = 4
+
+
+def bands(vectors: Column) -> Column:
+    """For each vector its dot products with itself and the next ``BANDS``: array of array of double, null beyond the end."""
 
     def of(vs: Column) -> Column:
+        each = lambda v, i: F.transform(F.array(*[F.lit(k) for k in range(BANDS + 1)]), lambda k: F.when(i + k < F.size(vs), dot(v, F.get(vs, i + k))))
+        return F.transform(vs, each)
+
+    return let(vectors, of)
+
+
+def from_bands(dots: Column, scale: int) -> Column:
+    """:func:`at_scale` from the vectors' dot products: those of means are means of dot products."""
+    h = scale // 2
+    if 2 * h > BANDS:
+        raise ValueError(f"scale {scale} needs dot products over {2 * h} places")
+
+    def product(dots: Column, a: Column, b: Column) -> Column:
+        return F.get(F.get(dots, F.least(a, b)), F.abs(a - b))
+
+    def total(dots: Column, rows: list, columns: list) -> Column:
+        """Sum of dot products over two ranges, given as places and whether each is in the text."""
+        out = F.lit(0.0)
+        for a, a_in in rows:
+            for b, b_in in columns:
+                out = out + F.when(a_in & b_in, product(dots, a, b)).otherwise(F.lit(0.0))
+        return out
+
+    def of(dots: Column) -> Column:
+        n = F.size(dots)
+
         def here(i: Column) -> Column:
-            left = F.slice(vs, F.greatest(i - h, F.lit(0)) + 1, i - F.greatest(i - h, F.lit(0)) + 1)
-            right = F.slice(vs, i + 1, F.least(F.lit(h + 1), F.size(vs) - i))
-            return cosine(mean(left), mean(right))
+            left = [(i - k, i - k >= 0) for k in range(h, -1, -1)] if scale > 1 else [(i, i >= 0)]
+            right = [(i + k, i + k < n) for k in range(h + 1)] if scale > 1 else [(i + 1, i + 1 < n)]
+            size = F.sqrt(total(dots, left, left)) * F.sqrt(total(dots, right, right))
+            return let(size, lambda z: F.round(F.when(z > 0, total(dots, left, right) / z).otherwise(F.lit(0.0)), DIGITS))
 
-        return F.when(F.size(vs) > 1, F.transform(F.sequence(F.lit(0), F.size(vs) - 2), here)).otherwise(F.array().cast("array<double>"))
+        return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), here)).otherwise(F.array().cast("array<double>"))
 
-    return let(vectors, of)
+    return let(dots, of)
+
+
+def at_scale(vectors: Column, scale: int) -> Column:
+    """Cosine at each gap i of the means of vectors i - h to i and i to i + h, h half the scale; both include i. Scale 1 is :func:`adjacent`."""
+    return from_bands(bands(vectors), scale)
 
 
 def windowed_boundaries(vectors: Column, window: int, threshold: float) -> Column:

@@ -12,7 +12,8 @@ _U = "(?U)"
 
 
 def code_patterns(text: Column) -> Column:
-    return sum((T.count(text, _U + p) for p in L.CODE[1:]), T.count(text, _U + L.CODE[0]))
+    each = [F.when(~text.contains(need), F.lit(0)).otherwise(T.count(text, _U + p)) for p, need in zip(L.CODE, L.CODE_NEEDS, strict=True)]
+    return sum(each[1:], each[0])
 
 
 def quote_pairs(text: Column) -> Column:
@@ -25,7 +26,7 @@ def dialogue_patterns(text: Column) -> Column:
 
 
 def narration_patterns(text: Column) -> Column:
-    return sum((T.count(text, p) for p in L.NARRATION), F.floor(T.count(text, L.PRONOUN) / 10).cast("int"))
+    return T.where_chinese(text, sum((T.count(text, p) for p in L.NARRATION), F.floor(T.count(text, L.PRONOUN) / 10).cast("int")))
 
 
 def sentence_structure(text: Column) -> Column:

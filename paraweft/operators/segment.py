@@ -123,9 +123,9 @@ def quality(rows: DataFrame, encoder: Encoder) -> DataFrame:
 
 def with_series(rows: DataFrame, encoder: Encoder, sigma: float = 1.0) -> DataFrame:
     """Adds ``series_1``, ``series_3`` and ``series_5``: smoothed similarities of the sentences at each scale."""
-    rows = rows.withColumn("vectors", F.when(F.size("sentences") >= 2, encoder(F.col("sentences"))))
+    rows = rows.withColumn("vectors", F.when(F.size("sentences") >= 2, encoder(F.col("sentences")))).withColumn("dots", V.bands(F.col("vectors")))
     for scale in SCALES:
-        rows = rows.withColumn(f"raw_{scale}", V.at_scale(F.col("vectors"), scale)).withColumn(f"series_{scale}", V.smooth(F.col(f"raw_{scale}"), sigma))
+        rows = rows.withColumn(f"raw_{scale}", V.from_bands(F.col("dots"), scale)).withColumn(f"series_{scale}", V.smooth(F.col(f"raw_{scale}"), sigma))
     return rows
 
 

@@ -28,8 +28,19 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Bytes of a table from which it is worth a shuffle to have all cores work on it.
+WORTH = 4 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table that fewer tasks read than there are cores, dealt to all; larger tables are read by many tasks and stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size > WORTH and rows._jdf.rdd().getNumPartitions() < cores else rows
+
+
 def documents(spark, d) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def split(docs: DataFrame) -> DataFrame:
