@@ -123,5 +123,9 @@ def blended(boundary: Column, similarity: Column, alpha: float = 0.3) -> Column:
 
 def by_scores(boundary: Column, consistency: Column, above: float, below: float) -> Column:
     """i + 1 for each gap i whose boundary score is above and whose consistency is below a limit."""
-    hits = F.filter(_positions(boundary), lambda i: (F.get(boundary, i) > above) & (F.get(consistency, i) < below))
-    return F.transform(hits, lambda i: i + 1)
+
+    def hits(both: Column) -> Column:
+        found = F.filter(_positions(both["b"]), lambda i: (F.get(both["b"], i) > above) & (F.get(both["c"], i) < below))
+        return F.transform(found, lambda i: i + 1)
+
+    return V.let(F.struct(boundary.alias("b"), consistency.alias("c")), hits)

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from paraweft.config import EngineConfig
 from paraweft.operators.jobs import Tasks, expired, with_estimates
-from paraweft.operators.neural import AttentionScorer, segment_multi_task, segment_transformer, synthetic_examples, train_boundaries
+from paraweft.operators.multitask import MultiTaskModel
+from paraweft.operators.neural import AttentionScorer, segment_multi_task, segment_transformer, synthetic_examples
 from paraweft.sources.documents import as_json, checked_requests, read_documents, read_markdown, read_requests, split_quarantine, write_results
 from paraweft.streaming.stream import document_stream, segment_stream
 
@@ -56,10 +57,8 @@ def test_tasks(spark):
 
 
 def test_models(spark):
-    examples = synthetic_examples(spark, 60)
-    model = train_boundaries(examples)
-    docs = examples.limit(5).select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    docs = synthetic_examples(spark, 60).limit(5).select(F.monotonically_increasing_id().alias("doc_id"), "text")
     config = EngineConfig(endings="western")
-    trained = segment_multi_task(docs, model, config).collect()
-    assert all(0 <= r.quality_score <= 1 and r.paragraphs for r in trained)
+    trained = segment_multi_task(docs, MultiTaskModel(), config).collect()
+    assert all(0 <= r.quality.quality_score <= 1 and r.paragraphs for r in trained)
     assert [r.paragraphs for r in segment_transformer(docs, config).collect()] == [r.paragraphs for r in segment_transformer(docs, config, scorer=AttentionScorer()).collect()]
