@@ -13,6 +13,14 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def apart(value: Column) -> Column:
+    """A column that Catalyst leaves where it is: not being deterministic, it isn't merged into what uses it.
+
+    Needed before a Python function whose argument holds a lambda, which Spark would else leave unextracted.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 WORD = r"[\p{L}\p{N}]+"
 #: Similarities are rounded to so many digits before they are compared, so that engines agree.
 DIGITS = 9

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import threading
 import time
 import uuid
@@ -9,6 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from paraweft.config import EngineConfig
+from paraweft.operators import markdown
+
 STATES = ("pending", "processing", "completed", "failed", "cancelled")
 
 
@@ -36,7 +40,8 @@ class Tasks:
     def __init__(self, spark: SparkSession):
         self.spark, self.rows, self._lock = spark, {}, threading.Lock()
 
-    def submit(self, work: Callable[[], object]) -> str:
+    def submit(self, work: Callable[..., object]) -> str:
+        """Run ``work`` in a thread; if it takes an argument, it gets a function that reports its percentage."""
         task = "task_" + uuid.uuid4().hex[:8]
         self.rows[task] = {"task_id": task, "status": "pending", "progress": 0, "started": time.time(), "ended": None, "result": None, "error": None}
 
@@ -48,7 +53,9 @@ class Tasks:
                 row.update(status="processing", progress=10)
             self.spark.sparkContext.setJobGroup(task, task, interruptOnCancel=True)
             try:
-                row.update(result=work(), status="completed", progress=100)
+                takes = len(inspect.signature(work).parameters) > 0
+                result = work(lambda percent: self._progress(row, percent)) if takes else work()
+                row.update(result=result, status="completed", progress=100)
             except Exception as e:  # noqa: BLE001  kept for who asks
                 row.update(status="cancelled" if row["status"] == "cancelled" else "failed", error=str(e))
             row["ended"] = time.time()
@@ -57,6 +64,18 @@ class Tasks:
         self.rows[task]["thread"].start()
         return task
 
+    @staticmethod
+    def _progress(row: dict, percent: float) -> None:
+        """Steps of 5 percent or more; a cancelled task learns here that it is."""
+        if row["status"] == "cancelled":
+            raise RuntimeError("cancelled")
+        if percent - row["progress"] >= 5:
+            row["progress"] = min(int(percent), 100)
+
+    def estimates(self) -> DataFrame:
+        """All tasks with what they say of themselves, how long they took and how long they may still take."""
+        return with_estimates(self.table(), F.lit(time.time()))
+
     def status(self, task: str) -> dict | None:
         row = self.rows.get(task)
         return None if row is None else {k: v for k, v in row.items() if k not in ("thread", "result")}
@@ -83,3 +102,26 @@ class Tasks:
     def table(self) -> DataFrame:
         rows = [(r["task_id"], r["status"], r["progress"], r["started"], r["ended"]) for r in self.rows.values()]
         return self.spark.createDataFrame(rows, "task_id string, status string, progress int, started double, ended double")
+
+
+def markdown_job(tasks: Tasks, docs: DataFrame, config: EngineConfig, path: str, id_col: str = "doc_id", text_col: str = "markdown") -> str:
+    """Process Markdown documents as a task: each step is written below ``path`` and reported; the result is the last table. Returns the task's name."""
+
+    def work(report: Callable[[float], None]) -> DataFrame:
+        def step(name: str, percent: int, rows: DataFrame) -> DataFrame:
+            schema = rows.schema
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
+            report(percent)
+            return tasks.spark.read.schema(schema).parquet(f"{path}/{name}")
+
+        return markdown.process(docs, config, None, id_col, text_col, step)
+
+    return tasks.submit(work)
+
+
+def health(spark: SparkSession, tasks: Tasks | None = None) -> dict[str, object]:
+    """Whether the session answers, its version and cores, and how many tasks are in each state."""
+    began = time.time()
+    alive = spark.range(1).count() == 1
+    counts = {s: sum(r["status"] == s for r in tasks.rows.values()) for s in STATES} if tasks else {}
+    return {"status": "healthy" if alive else "unhealthy", "spark": spark.version, "cores": spark.sparkContext.defaultParallelism, "seconds": round(time.time() - began, 3), "tasks": counts}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paraweft.functions import vectors as V
@@ -22,10 +24,21 @@ def _pairs(vectors: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j"), V.cosine(F.get(vectors, p["i"]), F.get(vectors, p["j"])).alias("sim")))
 
 
+def mean_cosine(vectors: Column) -> Column:
+    """Mean cosine of all pairs of unit (or zero) vectors, from their sum: linear in their number. 1 for up to one vector."""
+
+    def of(vs: Column) -> Column:
+        n = F.size(vs)
+        total = F.aggregate(F.slice(vs, F.lit(2), n), F.element_at(vs, 1), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+        own = F.aggregate(vs, F.lit(0.0), lambda s, v: s + V.dot(v, v))
+        return F.when(n > 1, V.let(total, lambda t: (V.dot(t, t) - own) / (n * (n - 1)))).otherwise(F.lit(1.0))
+
+    return V.let(vectors, of)
+
+
 def internal_consistency(sentence_vectors: Column) -> Column:
-    """Mean pairwise cosine of a paragraph's sentences; 1 for up to one sentence."""
-    sims = F.transform(pair_similarities(sentence_vectors), lambda p: p["sim"])
-    return V.let(sims, lambda s: F.when(F.size(s) > 0, average(s)).otherwise(F.lit(1.0)))
+    """Mean pairwise cosine of a paragraph's sentences, given as unit vectors; 1 for up to one sentence."""
+    return mean_cosine(sentence_vectors)
 
 
 def terms(text: Column) -> Column:
@@ -34,25 +47,36 @@ def terms(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(*sorted(STOP_WORDS)))
 
 
-def tfidf(paragraphs: DataFrame, id_col: str = "doc_id", most: float = 0.9) -> DataFrame:
+def grams(words: Column, n: int) -> Column:
+    """The words and, for n = 2, each with the one after it."""
+    if n == 1:
+        return words
+    pairs = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    return V.let(words, lambda w: F.concat(w, pairs(w)))
+
+
+def tfidf(paragraphs: DataFrame, id_col: str = "doc_id", most: float = 0.9, n: int = 2, features: int = 1000) -> DataFrame:
     """``(id, para, term, weight)``: each paragraph's unit vector of term frequency times smoothed inverse frequency over its document's paragraphs.
 
-    Input rows are (id, para, text). Terms in more than the share ``most`` of a document's paragraphs fall away.
+    Input rows are (id, para, text). Terms are words and pairs of words. Those in
+    more than the share ``most`` of a document's paragraphs fall away, and of the
+    others the ``features`` most frequent in the document stay, ties by name.
     """
-    tf = paragraphs.select(id_col, "para", F.explode(terms(F.col("text"))).alias("term")).groupBy(id_col, "para", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = paragraphs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    by_term = Window.partitionBy(id_col, "term")
-    rows = tf.withColumn("df", F.count(F.lit(1)).over(by_term)).join(n, id_col).where(F.col("df") <= most * F.col("n"))
-    raw = rows.withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    tf = paragraphs.select(id_col, "para", F.explode(grams(terms(F.col("text")), n)).alias("term")).groupBy(id_col, "para", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = paragraphs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    by_term = tf.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).join(sizes, id_col).where(F.col("df") <= most * F.col("n"))
+    order = Window.partitionBy(id_col).orderBy(F.desc("all"), "term")
+    kept = by_term.withColumn("place", F.row_number().over(order)).where(F.col("place") <= features).select(id_col, "term", "df", "n")
+    raw = tf.join(kept, [id_col, "term"]).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col, "para")))
     return raw.select(id_col, "para", "term", F.round(F.col("w") / norm, 9).alias("weight"))
 
 
-def lexical_similarity(weights: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def lexical_similarity(weights: DataFrame, id_col: str = "doc_id", digits: int = 6) -> DataFrame:
     """``(id, i, j, sim)`` of paragraph pairs i < j of a document that share a term."""
     a = weights.select(id_col, F.col("para").alias("i"), "term", F.col("weight").alias("wa"))
     b = weights.select(id_col, F.col("para").alias("j"), "term", F.col("weight").alias("wb"))
-    return a.join(b, [id_col, "term"]).where("i < j").groupBy(id_col, "i", "j").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("sim"))
+    return a.join(b, [id_col, "term"]).where("i < j").groupBy(id_col, "i", "j").agg(F.round(F.sum(F.col("wa") * F.col("wb")), digits).alias("sim"))
 
 
 def top_terms(paragraphs: DataFrame, k: int = 5, id_col: str = "doc_id") -> DataFrame:
@@ -100,22 +124,69 @@ def _topic_scores(topics: Column) -> Column:
     return F.struct(F.when(one, 1.0).otherwise(average(sims)).alias("coherence"), F.when(one, 1.0).otherwise(average(smooth)).alias("smoothness"), cuts.alias("boundaries"))
 
 
-def topic_model(paragraphs: DataFrame, k: int = 8, iterations: int = 20, id_col: str = "doc_id", vocabulary: int = 1000):
-    """A topic model over all paragraphs (online variational LDA); ``(rows with topics array, topic words)``.
-
-    The original fitted one model a text; one over the corpus gives topics that texts share and scales with it.
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of the logarithm of the gamma function, for positive numbers."""
+    shift = np.zeros_like(x)
+    for _ in range(6):
+        shift -= 1 / x
+        x = x + 1
+    y = 1 / (x * x)
+    return shift + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
+
+
+def fit_topics(weights: np.ndarray, k: int, iterations: int = 100, seed: int = 42, inner: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Batch variational Bayes of a topic model: each row's topics, and each topic's words, both as shares."""
+    rng = np.random.default_rng(seed)
+    n, m = weights.shape
+    words = rng.gamma(100.0, 0.01, (k, m))
+    for step in range(iterations + 1):
+        beta = np.exp(digamma(words) - digamma(words.sum(1, keepdims=True)))
+        gamma = np.ones((n, k))
+        for _ in range(inner):
+            theta = np.exp(digamma(gamma) - digamma(gamma.sum(1, keepdims=True)))
+            new = 1 / k + theta * ((weights / (theta @ beta + 1e-100)) @ beta.T)
+            moved, gamma = np.abs(new - gamma).mean(), new
+            if moved < 1e-3:
+                break
+        if step == iterations:
+            break
+        theta = np.exp(digamma(gamma) - digamma(gamma.sum(1, keepdims=True)))
+        words = 1 / k + beta * (theta.T @ (weights / (theta @ beta + 1e-100)))
+    return gamma / gamma.sum(1, keepdims=True), words / words.sum(1, keepdims=True)
+
+
+def topic_count(n: int) -> int:
+    """Topics of a document of n paragraphs: half as many, within 2 and 8."""
+    return min(max(2, n // 2), 8)
+
+
+def topic_model(paragraphs: DataFrame, k: int | None = None, iterations: int = 100, id_col: str = "doc_id") -> DataFrame:
+    """``(id, para, topics, main_topic, confidence, words)``: one topic model a document over its TF-IDF weights.
+
+    ``words`` are the eight of most weight in the paragraph's main topic. A
+    document's model is fitted in one task; its rows are its paragraphs and at
+    most a thousand terms. Paragraphs without a term have all topics alike.
     """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-
-    words = paragraphs.select(id_col, "para", terms(F.col("text")).alias("words"))
-    counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary).fit(words)
-    counted = counter.transform(words)
-    model = LDA(k=k, maxIter=iterations, seed=42, featuresCol="features").fit(counted)
-    rows = model.transform(counted).select(id_col, "para", vector_to_array("topicDistribution").alias("topics"))
-    named = model.describeTopics(8).select("topic", F.transform("termIndices", lambda i: F.element_at(F.array(*map(F.lit, counter.vocabulary)), i + 1)).alias("words"))
-    return rows, named
+    weights = tfidf(paragraphs, id_col)
+    of_para = weights.groupBy(id_col, "para").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    rows = paragraphs.select(id_col, "para").join(of_para, [id_col, "para"], "left")
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("para")
+        pairs = [[(t["term"], t["weight"]) for t in ts] if ts is not None else [] for ts in part["terms"]]
+        names = sorted({t for ts in pairs for t, _ in ts})
+        at = {t: i for i, t in enumerate(names)}
+        x = np.zeros((len(part), max(len(names), 1)))
+        for r, ts in enumerate(pairs):
+            for t, w in ts:
+                x[r, at[t]] = w
+        topics, words = fit_topics(x, k or topic_count(len(part)), iterations)
+        main = topics.argmax(1)
+        tops = [[names[i] for i in np.argsort(-w, kind="stable")[:8]] if names else [] for w in words]
+        return pd.DataFrame({id_col: part[id_col], "para": part["para"], "topics": list(topics), "main_topic": main.astype("int32"), "confidence": topics.max(1), "words": [tops[i] for i in main]})
+
+    types = {c: paragraphs.schema[c].dataType.simpleString() for c in (id_col, "para")}
+    return rows.groupBy(id_col).applyInPandas(fit, f"`{id_col}` {types[id_col]}, para {types['para']}, topics array<double>, main_topic int, confidence double, words array<string>")
 
 
 def overall(semantic: Column, lexical: Column, coherence: Column, smoothness: Column, internal: Column, keywords: Column) -> Column:
@@ -127,23 +198,27 @@ def grade(score: Column) -> Column:
     return F.when(score > 0.7, "high").when(score > 0.4, "medium").otherwise("low")
 
 
-def consistency(paragraphs: DataFrame, encoder: Encoder | None = None, id_col: str = "doc_id") -> DataFrame:
-    """``(id, n_paragraphs, semantic, lexical, internal, keywords, coherence, smoothness, score, grade)`` of documents of two paragraphs or more.
+def consistency(paragraphs: DataFrame, encoder: Encoder | None = None, id_col: str = "doc_id", topics: DataFrame | None = None) -> DataFrame:
+    """``(id, n_paragraphs, semantic, lexical, internal, keywords, coherence, smoothness, n_boundaries, score, grade)`` of documents of two paragraphs or more.
 
-    Input rows are (id, para, text, sentences). Topics are each paragraph's share of its words in the encoder's dimensions.
+    Input rows are (id, para, text, sentences). ``topics`` are rows (id, para,
+    topics) of :func:`topic_model`; without them a paragraph's shares of the
+    encoder's dimensions stand for its topics.
     """
     encoder = encoder or hashed_encoder()
-    rows = paragraphs.withColumns({"v": V.hashed(F.col("text")), "inner": internal_consistency(encoder(F.col("sentences")))})
-    per = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("para", "v"))).alias("vs"), F.avg("inner").alias("internal"), F.count(F.lit(1)).cast("int").alias("n_paragraphs"))
-    vectors = F.transform("vs", lambda x: x["v"])
-    sums = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    topics = F.transform(vectors, lambda v: F.transform(v, lambda x: F.when(sums(v) > 0, x / sums(v)).otherwise(F.lit(0.0))))
-    per = per.withColumns({"semantic": average(F.transform(pair_similarities(vectors), lambda p: p["sim"])), "t": topic_scores(topics)})
-    lexical = lexical_similarity(tfidf(paragraphs, id_col), id_col).groupBy(id_col).agg(F.sum("sim").alias("sims"))
+    rows = paragraphs.withColumns({"v": F.get(encoder(F.array("text")), F.lit(0)), "inner": internal_consistency(encoder(F.col("sentences")))})
+    size = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x))
+    if topics is None:
+        rows = rows.withColumn("topics", V.let(F.col("v"), lambda v: V.let(size(v), lambda n: F.transform(v, lambda x: F.when(n > 0, F.abs(x) / n).otherwise(F.lit(0.0))))))
+    else:
+        rows = rows.drop("topics").join(topics.select(id_col, "para", "topics"), [id_col, "para"])
+    per = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("para", "v", "topics"))).alias("vs"), F.avg("inner").alias("internal"), F.count(F.lit(1)).cast("int").alias("n_paragraphs")).where("n_paragraphs > 1")
+    per = per.withColumns({"semantic": mean_cosine(F.transform("vs", lambda x: x["v"])), "t": topic_scores(F.transform("vs", lambda x: x["topics"]))}).drop("vs")
+    lexical = lexical_similarity(tfidf(paragraphs, id_col), id_col, 12).groupBy(id_col).agg(F.sum("sim").alias("sims"))
     words = keyword_overlap(paragraphs, 5, id_col).groupBy(id_col).agg(F.avg("overlap").alias("keywords"))
-    out = per.join(lexical, id_col, "left").join(words, id_col, "left").where("n_paragraphs > 1")
+    out = per.join(lexical, id_col, "left").join(words, id_col, "left")
     pairs = F.col("n_paragraphs") * (F.col("n_paragraphs") - 1) / 2
     out = out.withColumns({"lexical": F.coalesce(F.col("sims") / pairs, F.lit(0.0)), "keywords": F.coalesce("keywords", F.lit(0.0))})
     score = overall(F.col("semantic"), F.col("lexical"), F.col("t.coherence"), F.col("t.smoothness"), F.col("internal"), F.col("keywords"))
     cols = {"semantic": "semantic", "lexical": "lexical", "internal": "internal", "keywords": "keywords", "coherence": "t.coherence", "smoothness": "t.smoothness"}
-    return out.withColumn("s", score).select(id_col, "n_paragraphs", *[F.round(v, 6).alias(k) for k, v in cols.items()], F.round("s", 6).alias("score"), grade(F.col("s")).alias("grade"))
+    return out.withColumn("s", F.round(score, 6)).select(id_col, "n_paragraphs", *[(F.round(v, 6) + 0.0).alias(k) for k, v in cols.items()], F.size("t.boundaries").alias("n_boundaries"), F.col("s").alias("score"), grade(F.col("s")).alias("grade"))

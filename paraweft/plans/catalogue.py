@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from paraweft.config import SCALES, EngineConfig
 from paraweft.functions import text as T, vectors as V
-from paraweft.operators import boundaries as B, chinese, classify, markdown, neural, segment, selection, topics
+from paraweft.operators import boundaries as B, chinese, classify, markdown, multitask, neural, segment, selection, topics
 from paraweft.operators.jobs import with_estimates
 from paraweft.plans.oracle import ORACLE_SQL, ZH_TEXTS
 from paraweft.sources.documents import checked_requests, validated
@@ -246,9 +246,7 @@ def model_boundary_scores(spark, d):
 
 
 def hybrid(spark, d) -> DataFrame:
-    e = segmented(spark, d).select("doc_id", "paragraphs", F.col("quality.quality_score").alias("quality_score"))
-    m = neural.segment_multi_task(documents(spark, d), None, CONFIG).select("doc_id", "paragraphs", F.col("quality.quality_score").alias("quality_score"))
-    return selection.merge_hybrid(e, m)
+    return selection.merge_hybrid(selection.by_method(documents(spark, d), "enhanced", CONFIG), selection.by_method(documents(spark, d), "transformer", CONFIG))
 
 
 @query
@@ -256,6 +254,12 @@ def hybrid_merge(spark, d):
     return hybrid(spark, d).select("doc_id", "selected_method", "enhanced_score", "transformer_score", "selected_score", "improvement", F.size("paragraphs").alias("n_paragraphs"))
 
 
+@query
+def segment_by_method(spark, d):
+    rows = selection.segment_by_method(documents(spark, d), CONFIG)
+    return rows.select("doc_id", "text_type", "method", "selected_method", "quality_score", "improvement", F.size("paragraphs").alias("n_paragraphs"))
+
+
 @query
 def method_selection(spark, d):
     return typed(spark, d).select("doc_id", "text_type", selection.select_method(F.length("text"), F.col("text_type"), F.when(F.col("doc_id") % 10 == 0, "transformer").otherwise("auto")).alias("method"))
@@ -275,8 +279,14 @@ def method_ranking(spark, d):
 
 @query
 def method_comparison(spark, d):
-    rows = hybrid(spark, d).select("doc_id", F.explode(F.map_from_arrays(F.array(F.lit("enhanced"), F.lit("multi_task")), F.array("enhanced_score", "transformer_score"))).alias("method", "score"))
-    return selection.rank_methods(rows)
+    return selection.compare_methods(documents(spark, d), CONFIG, ("enhanced", "transformer", "multi_task"), model=multitask.MultiTaskModel(CONFIG.dimensions))
+
+
+@query
+def segment_joint(spark, d):
+    """Types and boundaries by the model of three tasks, its weights from a seed."""
+    rows = neural.segment_multi_task(documents(spark, d), multitask.MultiTaskModel(CONFIG.dimensions), CONFIG)
+    return rows.select("doc_id", "text_type", "boundary_count", F.size("paragraphs").alias("n_paragraphs"), F.col("quality.quality_score").alias("quality_score"))
 
 
 def noted(spark, d) -> DataFrame:
@@ -322,49 +332,59 @@ def markdown_segment(spark, d):
     return markdown.segment_blocks(markdown.parse(noted(spark, d)), lambda c: T.split_sentences(c, "western")).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
-def zh(spark) -> DataFrame:
-    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, ZH_TEXTS)))).select(F.col("pos").cast("bigint").alias("doc_id"), F.col("col").alias("text"))
+@query
+def markdown_process(spark, d):
+    """Whole Markdown documents: parsed, long paragraphs segmented, put together again."""
+    rows = markdown.process(noted(spark, d), CONFIG)
+    return rows.select("doc_id", "blocks_original", "blocks_processed", "segmentation_applied", "chunks_used", "file_size", F.md5("processed_markdown").alias("markdown_md5"), F.md5("text_content").alias("text_md5"))
+
+
+def zh(spark, d) -> DataFrame:
+    """A Chinese text for each document: one of the fixed ones, but for the blank ones with a sentence of the document's own."""
+    base = F.element_at(F.array(*map(F.lit, ZH_TEXTS)), (F.pmod("doc_id", F.lit(len(ZH_TEXTS))) + 1).cast("int"))
+    own = F.concat(F.lit("编号"), F.col("doc_id").cast("string"), F.lit("的文本来自"), "source", F.lit("，共"), F.col("n_chars").cast("string"), F.lit("字。"))
+    return documents(spark, d).select("doc_id", F.when(F.trim(base) == "", base).otherwise(F.concat(base, own)).alias("text"))
 
 
 @query
 def zh_ratio(spark, d):
-    return zh(spark).select("doc_id", F.round(T.chinese_ratio(F.col("text")), 9).alias("ratio"), T.normalize_chinese(F.col("text")).alias("normalized"))
+    return zh(spark, d).select("doc_id", F.round(T.chinese_ratio(F.col("text")), 9).alias("ratio"), T.normalize_chinese(F.col("text")).alias("normalized"))
 
 
 @query
 def zh_split(spark, d):
-    return V.rows_of(zh(spark).select("doc_id", T.split_chinese(F.col("text")).alias("made")), "made", "sentence")
+    return V.rows_of(zh(spark, d).select("doc_id", T.split_chinese(F.col("text")).alias("made")), "made", "sentence")
 
 
 @query
 def zh_transitions(spark, d):
-    return V.rows_of(zh(spark).select("doc_id", chinese.transitions(T.split_sentences(F.col("text"), "zh")).alias("made")), "made", "at").select("doc_id", F.col("at").alias("pos"))
+    return V.rows_of(zh(spark, d).select("doc_id", chinese.transitions(T.split_sentences(F.col("text"), "zh")).alias("made")), "made", "at").select("doc_id", F.col("at").alias("pos"))
 
 
 @query
 def zh_dialogue(spark, d):
-    return V.rows_of(zh(spark).select("doc_id", chinese.spoken(F.col("text")).alias("made")), "made", "s").drop("pos").select("doc_id", "s.start", "s.end", "s.content")
+    return V.rows_of(zh(spark, d).select("doc_id", chinese.spoken(F.col("text")).alias("made")), "made", "s").drop("pos").select("doc_id", "s.start", "s.end", "s.content")
 
 
 @query
 def zh_features(spark, d):
-    return chinese.features(zh(spark)).drop("text")
+    return chinese.features(zh(spark, d)).drop("text")
 
 
 @query
 def zh_keywords(spark, d):
-    return chinese.keywords(zh(spark), 5)
+    return chinese.keywords(zh(spark, d), 5)
 
 
 @query
 def zh_narrative_boundaries(spark, d):
-    rows = zh(spark).withColumn("s", T.split_sentences(F.col("text"), "zh"))
+    rows = zh(spark, d).withColumn("s", T.split_sentences(F.col("text"), "zh"))
     return V.rows_of(rows.select("doc_id", chinese.narrative_boundaries(F.col("s"), V.adjacent(F.transform("s", lambda x: V.hashed(x)))).alias("made")), "made", "boundary").drop("pos")
 
 
 @query
 def zh_segment(spark, d):
-    return segment.paragraph_rows(segment.segment_enhanced(zh(spark), EngineConfig(zh_optimize=True))).drop("key_phrases")
+    return segment.paragraph_rows(segment.segment_enhanced(zh(spark, d), EngineConfig(zh_optimize=True))).drop("key_phrases")
 
 
 def turns(spark, d) -> DataFrame:
@@ -397,7 +417,8 @@ def keyword_overlap(spark, d):
 @query
 def internal_consistency(spark, d):
     rows = turns(spark, d)
-    return rows.select("doc_id", "para", F.round(topics.internal_consistency(F.transform("sentences", lambda s: V.hashed(s))), 6).alias("consistency"))
+    consistency = topics.internal_consistency(F.transform("sentences", lambda s: V.hashed(s)))
+    return rows.select("doc_id", "para", (F.round(consistency, 6) + 0.0).alias("consistency"))  # no negative zero
 
 
 @query
@@ -414,8 +435,14 @@ def topic_coherence(spark, d):
 
 @query
 def topic_model(spark, d):
-    rows, _ = topics.topic_model(turns(spark, d), k=4, iterations=5)
-    return rows.select("doc_id", "para", F.size("topics").alias("n_topics"), F.array_position("topics", F.array_max("topics")).cast("int").alias("main_topic"))
+    rows = topics.topic_model(turns(spark, d))
+    return rows.select("doc_id", "para", F.size("topics").alias("n_topics"), "main_topic", F.round("confidence", 4).alias("confidence"), F.concat_ws("|", "words").alias("words"))
+
+
+@query
+def consistency_by_topics(spark, d):
+    rows = turns(spark, d)
+    return topics.consistency(rows, topics=topics.topic_model(rows))
 
 
 @query

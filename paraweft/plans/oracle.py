@@ -273,7 +273,7 @@ joined as (select doc_id, string_agg(body || case when after is null then '' whe
 select doc_id, md5(t) as markdown_md5, length(t)::integer as n_chars from joined"""
 O["markdown_chunks"] = f"""with recursive {_ALL}, sized as (select doc_id, list(length(content) order by block) as ns from blocks group by doc_id),
 walk as (select doc_id, ns, 1 as k, 0 as chunk, ns[1]::bigint as size from sized
-  union all select doc_id, ns, k + 1, case when size > 0 and size + ns[k + 1] > 1000 then chunk + 1 else chunk end, case when size > 0 and size + ns[k + 1] > 1000 then ns[k + 1] else size + ns[k + 1] end from walk where k < len(ns))
+  union all select doc_id, ns, k + 1, case when size + ns[k + 1] > 1000 then chunk + 1 else chunk end, case when size + ns[k + 1] > 1000 then ns[k + 1] else size + ns[k + 1] end from walk where k < len(ns))
 select doc_id, chunk::integer as chunk, (min(k) - 1)::integer as first_block, count(*) as n_blocks, sum(ns[k])::bigint as size from walk group by doc_id, chunk"""
 O["markdown_segment"] = f"""with {_ALL}, split as (select doc_id, type, case when type = 'paragraph' and length(content) > 200 and len({sents('content')}) > 0 then {sents('content')} else [content] end as parts from blocks)
 select doc_id, type, count(*) as n, sum(length(piece))::bigint as chars from (select doc_id, type, unnest(parts) as piece from split) group by doc_id, type"""
@@ -283,9 +283,12 @@ TURNS = "turns as (select conv_id as doc_id, turn as para, text from conversatio
 _STOP = listed(sorted(set("的 了 在 是 我 有 和 就 不 人 都 一 the a an of to and in is it that".split())))
 TERMS = rf"""{TURNS}, words as (select doc_id, para, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]{{2,}}'), lambda w: not list_contains({_STOP}, w))) as term from turns),
 tf as (select doc_id, para, term, count(*) as tf from words group by all)"""
-TFIDF = f"""{TERMS}, sizes as (select doc_id, count(*) as n from turns group by doc_id),
-counted as (select *, count(*) over (partition by doc_id, term) as df from tf join sizes using (doc_id)),
-raw as (select *, tf * (ln((1 + n) / (1 + df)) + 1) as w from counted where df <= 0.9 * n),
+TFIDF = rf"""{TERMS}, sizes as (select doc_id, count(*) as n from turns group by doc_id),
+kept_words as (select doc_id, para, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]{{2,}}'), lambda w: not list_contains({_STOP}, w)) as w from turns),
+gram_tf as (select doc_id, para, term, count(*) as tf from (select doc_id, para, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from kept_words) group by all),
+gram_df as (select doc_id, term, count(*) as df, sum(tf) as total from gram_tf group by all),
+chosen as (select doc_id, term, df, n, row_number() over (partition by doc_id order by total desc, term) as place from gram_df join sizes using (doc_id) where df <= 0.9 * n),
+raw as (select doc_id, para, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from gram_tf join chosen using (doc_id, term) where place <= 1000),
 weights as (select doc_id, para, term, round(w / sqrt(sum(w * w) over (partition by doc_id, para)), 9) as weight from raw)"""
 O["lexical_tfidf"] = f"with {TFIDF} select doc_id, para, term, round(weight, 6) as weight from weights"
 O["lexical_similarity"] = f"with {TFIDF} select a.doc_id, a.para as i, b.para as j, round(sum(a.weight * b.weight), 6) as sim from weights a join weights b on a.doc_id = b.doc_id and a.term = b.term and a.para < b.para group by all"
@@ -304,10 +307,49 @@ def hashed(x: str) -> str:
 PAIRS = f"hashes as (select doc_id, para, {hashed('text')} as v from turns)"
 O["similarity_matrix"] = f"""with {TURNS}, {PAIRS}, placed as (select *, row_number() over (partition by doc_id order by para) - 1 as i from hashes)
 select a.doc_id, a.i::integer as i, b.i::integer as j, round({cosine('a.v', 'b.v')}, 6) as sim from placed a join placed b on a.doc_id = b.doc_id and a.i < b.i"""
-O["internal_consistency"] = f"""with {TURNS}, split as (select doc_id, para, {sents('text')} as s from turns),
-vecs as (select doc_id, para, i, {hashed('s[i]')} as v from split, unnest(range(1, len(s) + 1)) as u(i)),
-sims as (select a.doc_id, a.para, avg({cosine('a.v', 'b.v')}) as c from vecs a join vecs b on a.doc_id = b.doc_id and a.para = b.para and a.i < b.i group by all)
-select doc_id, para, round(coalesce(c, 1.0), 6) as consistency from turns left join sims using (doc_id, para)"""
+
+
+def unit(h: str) -> str:
+    return f"case when list_dot_product({h}, {h}) > 0 then list_transform({h}, lambda x: x / sqrt(list_dot_product({h}, {h}))) else {h} end"
+
+
+def mean_of_pairs(vs: str) -> str:
+    """Mean cosine of all pairs of a list of unit vectors, from their sum."""
+    total = f"list_transform(range(1, 65), lambda i: list_sum(list_transform({vs}, lambda w: w[i])))"
+    return f"case when len({vs}) > 1 then (list_dot_product({total}, {total}) - list_sum(list_transform({vs}, lambda w: list_dot_product(w, w)))) / (len({vs}) * (len({vs}) - 1)) else 1.0 end"
+
+
+INNER = f"""split as (select doc_id, para, {sents('text')} as s from turns),
+sentence_counts as (select doc_id, para, i, {hashed('s[i]')} as h from split, unnest(range(1, len(s) + 1)) as u(i)),
+sentence_lists as (select doc_id, para, list({unit('h')} order by i) as vs from sentence_counts group by doc_id, para),
+inner_ones as (select doc_id, para, coalesce({mean_of_pairs('vs')}, 1.0) as consistency from turns left join sentence_lists using (doc_id, para))"""
+O["internal_consistency"] = f"with {TURNS}, {INNER} select doc_id, para, round(consistency, 6) + 0.0 as consistency from inner_ones"
+
+_JS = "list_sum(list_transform(range(1, 65), lambda i: ({p}[i] + 1e-10) * ln(({p}[i] + 1e-10) / (({a}[i] + {b}[i]) / 2 + 1e-10))))"
+
+
+def topic_gaps(shares: str) -> str:
+    """CTEs up to ``told`` (doc_id, coherence, smoothness, n_boundaries) of neighbouring paragraphs' topics, ``shares`` of counts h."""
+    return f"""shared as (select doc_id, para, {shares} as p from hashes),
+beside as (select doc_id, p, lead(p) over (partition by doc_id order by para) as q from shared),
+gaps as (select doc_id, {cosine('p', 'q')} as sim, exp(-(0.5::double * {_JS.format(p='p', a='p', b='q')} + 0.5::double * {_JS.format(p='q', a='p', b='q')})) as smooth from beside where q is not null),
+told as (select doc_id, coalesce(avg(sim), 1.0) as coherence, coalesce(avg(smooth), 1.0) as smoothness, (count(*) filter (sim < 0.3))::integer as n_boundaries from (select distinct doc_id from hashes) left join gaps using (doc_id) group by doc_id)"""
+
+
+_SQUARES = "case when list_dot_product(v, v) > 0 then list_transform(v, lambda x: x * x / list_dot_product(v, v)) else v end"
+_SHARES = "case when list_sum(v) > 0 then list_transform(v, lambda x: x / list_sum(v)) else v end"
+O["topic_coherence"] = f"with {TURNS}, {PAIRS}, {topic_gaps(_SQUARES)} select doc_id, round(coherence, 6) as coherence, round(smoothness, 6) as smoothness, n_boundaries from told"
+O["consistency_score"] = f"""with {TFIDF}, {PAIRS}, {topic_gaps(_SHARES)}, {INNER},
+lexical as (select doc_id, sum(sim) as sims from (select a.doc_id, a.para, b.para, round(sum(a.weight * b.weight), 12) as sim from weights a join weights b on a.doc_id = b.doc_id and a.term = b.term and a.para < b.para group by all) group by doc_id),
+word_overlaps as (select doc_id, avg(overlap) as keywords from ({O["keyword_overlap"].replace('with ' + TERMS + ',', 'with')}) group by doc_id),
+unit_lists as (select doc_id, list({unit('v')}) as vs from hashes group by doc_id),
+per as (select doc_id, len(vs) as n, {mean_of_pairs('vs')} as semantic from unit_lists),
+own as (select doc_id, avg(consistency) as internal from inner_ones group by doc_id),
+parts as (select doc_id, n, semantic, coalesce(sims / (n * (n - 1) / 2), 0.0) as lexical, internal, coalesce(keywords, 0.0) as keywords, coherence, smoothness, n_boundaries
+  from per join own using (doc_id) join told using (doc_id) left join lexical using (doc_id) left join word_overlaps using (doc_id) where n > 1),
+scored as (select *, round(greatest(0.0::double, least(1.0::double, 0.3::double * semantic + 0.2::double * lexical + 0.2::double * coherence + 0.15::double * smoothness + 0.1::double * internal + 0.05::double * keywords)), 6) as score from parts)
+select doc_id, n::integer as n_paragraphs, round(semantic, 6) + 0.0 as semantic, round(lexical, 6) as lexical, round(internal, 6) + 0.0 as internal, round(keywords, 6) as keywords, round(coherence, 6) as coherence, round(smoothness, 6) as smoothness, n_boundaries, score,
+  case when score > 0.7 then 'high' when score > 0.4 then 'medium' else 'low' end as grade from scored"""
 O["task_status_rollup"] = """with tasks as (select case when event_id % 4 = 0 then 'completed' when event_id % 4 = 1 then 'pending' else 'processing' end as status, (event_id % 100)::integer as p from events),
 told as (select status, case when status <> 'processing' then status when p < 20 then 'reading' when p < 40 then 'parsing' when p < 80 then 'segmenting' else 'assembling' end as message,
   case when status = 'processing' and p > 0 then round(120.0::double / (p / 100) - 120.0, 3) end as remaining from tasks)
@@ -320,15 +362,53 @@ O["deduplicated_sentences"] = f"with {SPLIT}, {ROWS} select sentence, count(*) a
 O["longest_sentences"] = f"""with {SPLIT}, {ROWS}, ranked as (select lang, doc_id, pos, length(sentence)::integer as n, row_number() over (partition by lang order by length(sentence) desc, doc_id, pos)::integer as rank from rows join documents using (doc_id))
 select lang, rank, doc_id, pos, n from ranked where rank <= 3"""
 
-_ZH = "zh as (select * from (values " + ", ".join(f"({k}::bigint, {q(t)})" for k, t in enumerate(ZH_TEXTS)) + ") as v(doc_id, text))"
+_ZH = f"""based_texts as (select doc_id, ([{', '.join(map(q, ZH_TEXTS))}])[doc_id % {len(ZH_TEXTS)} + 1] as b, source, n_chars from documents),
+zh as (select doc_id, case when trim(b) = '' then b else concat(b, '编号', doc_id::varchar, '的文本来自', source, '，共', n_chars::varchar, '字。') end as text from based_texts)"""
 O["zh_ratio"] = f"with {_ZH}, based as (select doc_id, text, {norm('text')} as b from zh) select doc_id, round({ratio('text')}, 9) as ratio, case when {ratio('b')} > 0.5 then {_WIDE} else b end as normalized from based"
 O["zh_transitions"] = f"with {_ZH}, sentences as (select doc_id, {sents('text', '。！？；：')} as s from zh), {ROWS} select doc_id, pos from rows where regexp_matches(sentence, {q('|'.join([*L.TRANSITIONS, *L.MARKERS, *L.TIMES]))})"
 _LINED = rf"""regexp_replace(regexp_replace(text, '([。！？；])(["])', '\1' || chr(10) || '\2', 'g'), '(["])([。！？；])', '\1\2' || chr(10), 'g')"""
-O["zh_split"] = f"""with recursive {_ZH}, parts as (select doc_id, list_filter(list_transform(regexp_extract_all({_LINED}, '[^。！？；]*[。！？；]|[^。！？；]+$'), lambda s: {strip('s')}), lambda s: s <> '') as p from zh),
+_SPLIT_ZH = f"""parts as (select doc_id, list_filter(list_transform(regexp_extract_all({_LINED}, '[^。！？；]*[。！？；]|[^。！？；]+$'), lambda s: {strip('s')}), lambda s: s <> '') as p from zh),
 walk as (select doc_id, p, 1 as k, [p[1]] as out from parts where len(p) > 0
   union all select doc_id, p, k + 1, case when length(p[k + 1]) < 10 then list_append(out[1:-2], out[-1] || p[k + 1]) else list_append(out, p[k + 1]) end from walk where k < len(p)),
-done as (select doc_id, out from walk where k = len(p))
-select doc_id, (i - 1)::integer as pos, out[i] as sentence from done, unnest(range(1, len(out) + 1)) as u(i)"""
+done as (select doc_id, out from walk where k = len(p))"""
+O["zh_split"] = f"with recursive {_ZH}, {_SPLIT_ZH} select doc_id, (i - 1)::integer as pos, out[i] as sentence from done, unnest(range(1, len(out) + 1)) as u(i)"
+
+
+def tokens(x: str) -> str:
+    """Pairs of neighbouring Chinese characters and words of Latin letters and digits."""
+    runs = rf"regexp_extract_all(lower({x}), '[\x{{4E00}}-\x{{9FFF}}]{{2,}}|[\p{{Latin}}\p{{N}}]{{2,}}')"
+    return rf"flatten(list_transform({runs}, lambda r: case when regexp_matches(r, '^[\x{{4E00}}-\x{{9FFF}}]') then list_transform(range(1, greatest(length(r) - 1, 1) + 1), lambda i: substr(r, i, 2)) else [r] end))"
+
+
+def spans(x: str, pattern: str) -> str:
+    """Start, end and inner words of each match, from the lengths of matches and of the gaps between them."""
+    got, inner, gap = (f"regexp_extract_all({x}, {q(pattern)})", f"regexp_extract_all({x}, {q(pattern)}, 1)", f"regexp_split_to_array({x}, {q(pattern)})")
+    upto = f"coalesce(list_sum(list_transform(({gap})[1:k], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(({got})[1:k - 1], lambda y: length(y))), 0)"
+    return f"list_transform(range(1, len({got}) + 1), lambda k: {{'a': {upto}, 'z': {upto} + length(({got})[k]), 'c': ({inner})[k]}})"
+
+
+_SPOKEN = f"list_distinct({' || '.join(spans('text', p) for p in L.SPOKEN)})"
+O["zh_dialogue"] = f"with {_ZH}, found as (select doc_id, unnest({_SPOKEN}) as s from zh) select doc_id, s.a::integer as start, s.z::integer as end, s.c as content from found"
+O["zh_keywords"] = f"""with {_ZH}, listed as (select doc_id, {tokens('text')} as t from zh), placed as (select doc_id, i as nth, t[i] as word from listed, unnest(range(1, len(t) + 1)) as u(i)),
+counted as (select doc_id, word, count(*) as n, min(nth) as first from placed group by all),
+ranked as (select *, row_number() over (partition by doc_id order by n desc, first, word)::integer as rank, sum(n) over (partition by doc_id) as total from counted)
+select doc_id, rank, word, 'x' as pos, round(n / total, 9) as score from ranked where rank <= 5"""
+_PUNCT = "[" + L.PUNCTUATION + '"' + "]"
+O["zh_features"] = f"""with recursive {_ZH}, {_SPLIT_ZH},
+lists as (select doc_id, text, {tokens('text')} as t, {_SPOKEN} as sp, coalesce(out, []::varchar[]) as s from zh left join done using (doc_id)),
+lens as (select *, list_transform(s, lambda x: length(x)::double) as l, length(text) as n from lists),
+means as (select *, coalesce(list_sum(l) / nullif(len(l), 0), 0.0) as m from lens)
+select doc_id, round({ratio('text')}, 9) as chinese_ratio, round(m, 9) as avg_sentence_length, round(coalesce(sqrt(list_sum(list_transform(l, lambda x: (x - m) * (x - m))) / nullif(len(l), 0)), 0.0), 9) as sentence_length_std,
+  round(coalesce({count('text', _PUNCT)} / nullif(n, 0), 0.0), 9) as punctuation_density, round(coalesce(coalesce(list_sum(list_transform(sp, lambda x: x.z - x.a)), 0) / nullif(n, 0), 0.0), 9) as dialogue_ratio,
+  round(coalesce(len(list_filter({listed(L.TRANSITIONS)}, lambda w: contains(text, w))) / nullif(len(s), 0), 0.0), 9) as transition_density, round(coalesce(len(list_distinct(t)) / nullif(len(t), 0), 0.0), 9) as lexical_diversity from means"""
+_TURNING = q("|".join([*L.TRANSITIONS, *L.MARKERS, *L.TIMES]))
+_SAID = " or ".join(f"regexp_matches(a || b, {q(p)})" for p in L.SPOKEN)
+O["zh_narrative_boundaries"] = f"""with {_ZH}, sentences as (select doc_id, {sents('text', '。！？；：')} as s from zh), {ROWS},
+pairs as (select doc_id, pos, sentence as a, lead(sentence) over (partition by doc_id order by pos) as b from rows),
+known as (select doc_id, pos, a, b, list_distinct({tokens('a')}) as ta, list_distinct({tokens('b')}) as tb, {cosine(hashed('a'), hashed('b'))} as sim from pairs where b is not null),
+limits as (select *, 0.5::double * case when regexp_matches(b, {_TURNING}) then 0.7::double else 1.0::double end * case when {_SAID} then 0.8::double else 1.0::double end
+  * case when coalesce(len(list_intersect(ta, tb)) / nullif(len(list_distinct(ta || tb)), 0), 0.0) < 0.2 then 0.9::double else 1.0::double end as most from known)
+select doc_id, (pos + 1)::integer as boundary from limits where sim < most"""
 
 # the whole method: types, sentences, unit vectors of hashed words, smoothed similarities, votes, hints, repair, paragraphs
 _VOTES = ", ".join(f"('{k}', " + ", ".join(f"{w}::double, {th}::double" for w, th in v[:3]) + f", {v[3]}::double)" for k, v in VOTES.items())
@@ -384,3 +464,11 @@ select doc_id, count(*) as n, sum(length)::bigint as chars, sum(sentence_count):
 _SHORT = segmented("typed.text_type", "use_structure_hints", "50", "500")
 O["segment_multi_task"] = f"""with recursive {_SHORT}, {_QUALITY}, sizes as (select doc_id, count(*) as np from paras group by doc_id)
 select u.doc_id, u.text_type, np::integer as n_paragraphs, round(q.score, 3) as quality_score from set_up u left join sizes using (doc_id) left join scored q using (doc_id)"""
+
+_ZH_NORMAL = f"case when {ratio(norm('text'))} > 0.5 then {_WIDE.replace('(b,', '(' + norm('text') + ',')} else {norm('text')} end"
+_ZH_OWN = _OWN.replace("from documents", "from zh").replace("lang, case when not fit", "case when not fit").replace(f"{norm('text')} as normalized", f"{_ZH_NORMAL} as normalized")
+_ZH_CUT = _SPLIT_ZH.replace("from zh", "from set_up").replace("text,", "normalized,").replace("walk", "split_walk").replace("parts", "split_parts").replace("done", "split_done")
+_ZH_OWN = _ZH_OWN.replace(f"sentences as (select doc_id, {sents('normalized')} as s from set_up)", f"{_ZH_CUT},\nsentences as (select doc_id, case when {ratio('normalized')} > 0.5 then coalesce(out, []::varchar[]) else {sents('normalized', '。！？；：')} end as s from set_up left join split_done using (doc_id))")
+_ZH_OWN = _ZH_OWN.replace("fits as (select *,", f"fits as (select *,").replace("from typed join settings", "from typed_all join settings")
+_ZH_OWN = _ZH_OWN.replace("set_up as (select", f"typed_all as (select * from typed where regexp_matches(text, '{NOT_WS}')),\nset_up as (select").replace("typed.text_type", "typed_all.text_type")
+O["zh_segment"] = f"with recursive {_ZH}, {_ZH_OWN} select doc_id, text_type, para, text, type, 1::integer as level, length, sentence_count, start_idx, end_idx from paras join set_up using (doc_id)"

@@ -11,7 +11,7 @@ import __spark_entry__
 from paraweft.plans import catalogue
 
 TABLES = ["documents", "embeddings", "conversations", "events"]
-FEW = ["sentence_split", "detect_text_type", "boundary_vote", "length_repair", "markdown_parse", "markdown_chunks", "lexical_similarity", "event_sessions", "zh_split", "method_ranking"]
+FEW = ["sentence_split", "detect_text_type", "boundary_vote", "length_repair", "markdown_parse", "markdown_chunks", "lexical_similarity", "event_sessions", "zh_split", "zh_segment", "consistency_score", "method_ranking"]
 
 
 def table_of(frame: pd.DataFrame) -> pd.DataFrame:
