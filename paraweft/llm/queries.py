@@ -135,7 +135,8 @@ from rows r join plan p using (grp) join placed k using (grp, key)
 """
 
 _QUOTE = "'"
-#: The passages and templates of licenses.py, every passage tried on every template.
+_ANCHORS = ", ".join(f"({t}, '{w}', {n}, {len(op3.words_of(op3.TEMPLATES[t][1]))})" for w, ts in sorted(op3.anchors(op3.TEMPLATES, op3.LEAST).items()) for t, n in ts)
+#: The passages and templates of licenses.py, every line, paragraph and text tried on every template.
 OP3_SQL = rf"""
 with templates as (
   select t.n, t.license, list_distinct([t.w[i] || ' ' || t.w[i + 1] for i in range(1, len(t.w))]) as grams from (
@@ -151,10 +152,21 @@ with templates as (
 ), words as (
   select doc_id, line, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') as w from units
 ), grams as (
-  select doc_id, line, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as grams from words where len(w) between 2 and 400
+  select doc_id, line, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as grams from words where len(w) > 1
+), texts as (
+  select doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') as w from documents
+), anchors as (
+  select * from (values {_ANCHORS}) as v(n, word, before, size)
+), windows as (
+  select distinct doc_id, n, size, greatest(i - 1 - before, 0) as start from (select doc_id, w[i] as word, i from texts, unnest(range(1, len(w) + 1)) as u(i)) join anchors using (word)
+), cut as (
+  select doc_id, n, w[start + 1:start + size] as v from windows join texts using (doc_id)
 ), scored as (
   select g.doc_id, g.line, t.license, 2.0::double * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) as dice
   from grams g, templates t where len(g.grams) between len(t.grams) * 0.6 and len(t.grams) / 0.6
+  union all
+  select c.doc_id, -1, t.license, 2.0::double * len(list_intersect(c.g, t.grams)) / (len(c.g) + len(t.grams))
+  from (select doc_id, n, list_distinct([v[i] || ' ' || v[i + 1] for i in range(1, len(v))]) as g from cut) c join templates t using (n)
 )
 select doc_id, license, max(dice) as dice, count(distinct line)::bigint as passages,
   coalesce(min(line) filter (line >= 0), -1)::integer as first_line
