@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paraweft.llm import words as W
 
-#: Labelled documents a language is learned from at most, in the order of a hash of their ids.
-PER_LANGUAGE = 300
-#: Words of a chain: a text is cut into chains of so many words, the last may be shorter.
+#: Labelled documents, and characters, that a language is learned from at most, in the order of a hash of their ids; one document at least.
+PER_LANGUAGE, CHARACTERS = 300, 2_000_000
+#: Words that are scored side by side. What is known at the end of so many words goes on to the next.
 CHAIN = 32
+#: Times that a word must stand in the sample, and share of them in one language, to be in the lexicon.
+TIMES, SHARE = 3, 0.8
 #: Weights in all are at most 2**WEIGHT_BITS, whatever the number of languages.
 WEIGHT_BITS = 21
 ROUNDS = 40
@@ -35,32 +37,51 @@ def chains(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(at < end[:, None], at, -1), row[begin]
 
 
-def word_features(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+def code_points(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text's code points, and where runs of bytes begin and end among them."""
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+    upto = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return points, upto[begin], upto[end]
+
+
+def word_features(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray], mask: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of words, one word after another, and where each word's begin.
 
-    The word itself, its first and last 1 to 3 bytes, and each byte with its neighbours.
+    The word itself, what the lexicon says of it, its first and last 1 to 3
+    characters, and its character pairs and triples, in which its ends count as characters.
     """
-    n, size = len(begin), end - begin
-    keys = [hashes]
-    last = len(data) - 1
+    points, begin, end = code_points(data, begin, end)
+    n, size, last = len(begin), end - begin, len(points) - 1
+    keys, says = lexicon
+    place = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
+    known = np.where(keys[place] == hashes, says[place] + 1, 0) if len(keys) else np.zeros(n, np.int64)
+    fixed = [hashes, W.mix(known.astype(np.uint64) + np.uint64(1 << 50))]
+    wide = points.astype(np.uint64)
     for k in (1, 2, 3):
         for side in (0, 1):
-            key = np.full(n, 1 + 2 * k + side, np.uint64)
+            key = np.full(n, 2 * k + side, np.uint64)
             for i in range(k):
-                at = begin + i if side == 0 else end - 1 - i
-                key = (key << np.uint64(8)) | data[np.clip(at, 0, last)]
-            keys.append(np.where(size >= k, W.mix(key), np.uint64(0)))
-    fixed = len(keys)
-    starts = np.concatenate([[0], np.cumsum(size + fixed)])
+                key = W.mix(key ^ (wide[np.clip(begin + i if side == 0 else end - 1 - i, 0, last)] + np.uint64(1 << 40)))
+            fixed.append(np.where(size >= k, key, np.uint64(0)))
+    count = len(fixed) + (size + 1) + size
+    starts = np.concatenate([[0], np.cumsum(count)])
     out = np.empty(starts[-1], np.int64)
-    for i, key in enumerate(keys):
+    for i, key in enumerate(fixed):
         out[starts[:-1] + i] = (key & np.uint64(mask)).astype(np.int64)
-    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    at = np.repeat(begin, size) + inner
-    left = np.where(inner > 0, data[np.maximum(at - 1, 0)], 0)
-    right = np.where(inner < np.repeat(size, size) - 1, data[np.minimum(at + 1, last)], 0)
-    key = (np.uint64(1 << 40) | (left.astype(np.uint64) << np.uint64(16))) | (data[at].astype(np.uint64) << np.uint64(8)) | right.astype(np.uint64)
-    out[np.repeat(starts[:-1] + fixed, size) + inner] = (W.mix(key) & np.uint64(mask)).astype(np.int64)
+
+    def at(first: np.ndarray, inner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Characters at places of words, 1 beyond their ends."""
+        inside = (inner >= 0) & (inner < sizes)
+        return np.where(inside, wide[np.clip(first + inner, 0, last)], np.uint64(1))
+
+    for k, per in ((2, size + 1), (3, size)):
+        inner = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+        first, sizes = np.repeat(begin, per), np.repeat(size, per)
+        key = np.full(len(inner), k, np.uint64)
+        for i in range(k):
+            key = W.mix(key + (at(first, inner + i - 1, sizes) << np.uint64(3)))
+        base = starts[:-1] + len(fixed) + (0 if k == 2 else size + 1)
+        out[np.repeat(base, per) + inner] = (key & np.uint64(mask)).astype(np.int64)
     return out, starts
 
 
@@ -73,17 +94,21 @@ class Model:
         self.mask = (1 << max(8, WEIGHT_BITS - int(np.ceil(np.log2(n))))) - 1
         self.weights = np.zeros((self.mask + 1, n), np.float32)
         self.moves, self.first = np.zeros((n, n)), np.zeros(n)
+        #: hashes of the words that stand nearly only in one language's sample, and that language
+        self.lexicon = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def emissions(self, features: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if len(starts) < 2:
             return np.zeros((0, self.weights.shape[1]), np.float32)
         return np.add.reduceat(self.weights[features], starts[:-1], axis=0)
 
-    def marginals(self, e: np.ndarray, at: np.ndarray, pairs: bool = False):
+    def marginals(self, e: np.ndarray, at: np.ndarray, pairs: bool = False, start: np.ndarray | None = None, end: np.ndarray | None = None):
         """Posterior of each label at each place of each chain, by the forward and backward recursions.
 
-        ``e`` are the scores of words, ``at`` the chains. Every step is scaled to
-        sum to one. With ``pairs``, also the expected transitions and the log-likelihood's normaliser.
+        ``e`` are the scores of words, ``at`` the chains; ``start`` and ``end`` are
+        what is known of each chain's labels from the words before and after it.
+        Every step is scaled to sum to one. With ``pairs``, also the expected
+        transitions and the log-likelihood's normaliser.
         """
         n, steps = at.shape
         real = at >= 0
@@ -93,7 +118,7 @@ class Model:
         x[~real] = 1.0
         move = np.exp(self.moves)
         alpha, scale = np.empty_like(x), np.empty((n, steps))
-        a = x[:, 0] * np.exp(self.first)
+        a = x[:, 0] * (np.exp(self.first) if start is None else start)
         for t in range(steps):
             if t:
                 a = np.where(real[:, t, None], (a @ move) * x[:, t], a)
@@ -101,9 +126,9 @@ class Model:
             scale[:, t] = s
             a = a / s[:, None]
             alpha[:, t] = a
-        beta, expected = np.ones((n, x.shape[2])), np.zeros_like(move)
+        beta, expected = np.ones((n, x.shape[2])) if end is None else end, np.zeros_like(move)
         gamma = np.empty_like(x)
-        gamma[:, -1] = alpha[:, -1]
+        gamma[:, -1] = alpha[:, -1] * beta / (alpha[:, -1] * beta).sum(1, keepdims=True)
         for t in range(steps - 2, -1, -1):
             onward = beta * x[:, t + 1]
             if pairs:
@@ -111,29 +136,61 @@ class Model:
                 p = alpha[live, t][:, :, None] * move * onward[live][:, None, :]
                 expected += (p / p.sum((1, 2), keepdims=True)).sum(0)
             b = onward @ move.T
-            beta = np.where(real[:, t + 1, None], b / b.sum(1, keepdims=True), 1.0)
+            beta = np.where(real[:, t + 1, None], b / b.sum(1, keepdims=True), beta)
             g = alpha[:, t] * beta
             gamma[:, t] = g / g.sum(1, keepdims=True)
         if pairs:
             return gamma, expected, float((np.log(scale) * real).sum() + (top[..., 0] * real).sum())
         return gamma
 
+    def through(self, e: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each chain of a text learns from the chains before and after it; ``first`` marks the first chain of each text.
+
+        A chain acts on the labels as a product of matrices, which is made for all
+        chains at once; only these products are then gone through one after another.
+        """
+        n, k = len(at), self.weights.shape[1]
+        move = np.exp(self.moves)
+        x = e[np.maximum(at, 0)].astype(np.float64)
+        x = np.exp(x - x.max(2, keepdims=True))
+        product = x[:, 0, :, None] * np.eye(k)
+        for t in range(1, at.shape[1]):
+            step = (product @ move) * x[:, t, None, :]
+            product = np.where((at[:, t] >= 0)[:, None, None], step / step.sum((1, 2), keepdims=True), product)
+        heads = np.flatnonzero(first)
+        sizes = np.diff(np.append(heads, n))
+        start, end = np.tile(np.exp(self.first), (n, 1)), np.ones((n, k))
+        for j in range(1, int(sizes.max(initial=0))):
+            c = heads[sizes > j] + j
+            s = np.einsum("nk,nkl->nl", start[c - 1], product[c - 1]) @ move
+            start[c] = s / s.sum(1, keepdims=True)
+        lasts = heads + sizes - 1
+        for j in range(1, int(sizes.max(initial=0))):
+            c = lasts[sizes > j] - j
+            s = np.einsum("nkl,nl->nk", product[c + 1], end[c + 1]) @ move.T
+            end[c] = s / s.sum(1, keepdims=True)
+        return start, end
+
     def fit(self, texts: list[str], labels: list[int], seed: int = 7) -> Model:
         """Maximise the penalised likelihood of the labels of all words by Adam over all chains.
 
-        A word's label is its text's. As such chains never switch, each third
-        chain is completed, from a random place on, by words of another chain of
+        A word's label is its text's. The sample is learned from in chains of
+        ``CHAIN`` words. As such chains never switch, each third chain is completed, from a random place on, by words of another chain of
         another language: the transitions are learned from code-switched chains.
         """
         data, offsets = W.strings(pa.array(texts, pa.string()))
         begin, end, row = W.spans(data, offsets, _STOP)
         hashes = W.hashes(data, begin, end)
         _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        features, starts = word_features(data, begin[first], end[first], hashes[first], self.mask)
         at, of = chains(row)
         if not len(at):
             return self
         label_of = np.asarray(labels)
+        seen = np.bincount(back * self.weights.shape[1] + label_of[row], minlength=len(first) * self.weights.shape[1]).reshape(len(first), -1)
+        sure = (seen.max(1) >= SHARE * seen.sum(1)) & (seen.sum(1) >= TIMES)
+        keys = hashes[first]  # ascending, as np.unique gives them
+        self.lexicon = keys[sure], seen.argmax(1)[sure]
+        features, starts = word_features(data, begin[first], end[first], keys, self.lexicon, self.mask)
         rng = np.random.default_rng(seed)
         words = np.where(at >= 0, back[np.maximum(at, 0)], -1)
         gold = np.repeat(label_of[of][:, None], CHAIN, axis=1)
@@ -175,13 +232,13 @@ class Model:
             return begin, end, row, np.zeros((0, self.weights.shape[1]))
         hashes = W.hashes(data, begin, end)
         _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        e = self.emissions(*word_features(data, begin[first], end[first], hashes[first], self.mask))
-        at, _ = chains(row)
+        e = self.emissions(*word_features(data, begin[first], end[first], hashes[first], self.lexicon, self.mask))
+        at, of = chains(row)
+        words = np.where(at >= 0, back[np.maximum(at, 0)], -1)
+        start, stop = self.through(e, words, np.append(True, of[1:] != of[:-1]))
         gamma = np.empty((len(begin), e.shape[1]))
-        for i in range(0, len(at), 8192):
-            part = at[i : i + 8192]
-            real = part >= 0
-            gamma[part[real]] = self.marginals(e, np.where(real, back[np.maximum(part, 0)], -1))[real]
+        real = at >= 0
+        gamma[at[real]] = self.marginals(e, words, start=start, end=stop)[real]
         return begin, end, row, gamma
 
 
@@ -234,11 +291,12 @@ def _runs(shared):
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from at most ``PER_LANGUAGE`` documents of each non-null language among those for which ``learn`` holds.
+    """A model from at most ``PER_LANGUAGE`` documents and ``CHARACTERS`` characters of each non-null language among those for which ``learn`` holds.
 
     The sample is fixed by a hash of the ids: languages are counted over all
     documents, then each is thinned by hash to about twice the bound, and the
-    first by hash up to the bound come to the driver.
+    first by hash, whole texts up to both bounds, come to the driver. So does a
+    row for each language, of which there are as many as the model has labels.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"), F.col(lang_col).cast("string").alias("lang"), learn.alias("learn")).where("learn and lang is not null and text is not null")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -247,7 +305,8 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
     bound = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * PER_LANGUAGE / n + 50 / n) * (1 << 31)))]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy("draw", "id", "text")
-    sample = rows.withColumn("draw", draw).where(F.col("draw") < bound).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PER_LANGUAGE)
+    sample = rows.withColumn("draw", draw).where(F.col("draw") < bound).withColumns({"nth": F.row_number().over(order), "before": F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    sample = sample.where((F.col("nth") <= PER_LANGUAGE) & (F.col("before") < CHARACTERS))
     got = sorted((r.lang, r.nth, r.text) for r in sample.select("lang", "nth", "text").collect())
     languages = sorted(counts, key=lambda s: [ord(c) for c in s])
     return Model(languages).fit([t for _, _, t in got], [languages.index(lang) for lang, _, _ in got])
@@ -257,10 +316,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """``(id, lang_pred, score, n_words)``: the language with the largest mean posterior over all words of the text.
 
     Words are runs of letters of the lower-cased text; a word's posterior comes
-    from its chain of up to ``CHAIN`` words by forward-backward. ``score`` is that
-    mean, 0 to 1. Null texts and texts without a letter are ``und`` with score 0,
-    as is everything if no language was learned. Nothing but the text is read;
-    rows aren't shuffled, and rows that repeat give repeated results.
+    from all words of its text by forward-backward. ``score`` is that mean, 0 to
+    1; of languages that are equal, the first by code point is named. Null texts
+    and texts without a letter are ``und`` with score 0, as is everything if no
+    language was learned. Nothing but the text is read; rows aren't shuffled, and
+    rows that repeat give repeated results. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))

@@ -1,10 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from paraweft.llm.language import CHAIN, Model, identify, label_words, train
+from paraweft.llm import language
+from paraweft.llm.language import CHAIN, Model, identify, label_words, train, word_features
+from paraweft.llm.words import hashes, strings
 
 SYLLABLES = {"aa": ["ta", "ko", "mi", "ra", "su"], "bb": ["eau", "elle", "ou", "ent", "que"], "cc": ["sch", "ung", "keit", "ein", "über"]}
 
@@ -40,6 +43,52 @@ def test_marginals_equal_enumeration():
     assert np.allclose(m.marginals(e, at)[0, :4], want / want.sum(1, keepdims=True))
 
 
+def test_a_text_is_one_chain_however_long():
+    rng = np.random.default_rng(5)
+    m = Model(["x", "y", "z"])
+    m.moves, m.first = 3 * np.eye(3) + rng.normal(size=(3, 3)), rng.normal(size=3)
+    m.weights = rng.normal(0, 0.3, m.weights.shape).astype(np.float32)
+    texts = [" ".join("".join(rng.choice(list("abcdeéж文"), rng.integers(1, 5))) for _ in range(n)) for n in (1, 31, 32, 33, 64, 65, 200, 500)]
+    data, offsets = strings(pa.array(texts))
+    begin, end, row, gamma = m.words(data, offsets)
+    for r in range(len(texts)):
+        mine = np.flatnonzero(row == r)
+        e = m.emissions(*word_features(data, begin[mine], end[mine], hashes(data, begin[mine], end[mine]), m.lexicon, m.mask)).astype(float)
+        a, b = [np.exp(m.first + e[0])], [np.ones(3)]
+        for t in range(1, len(mine)):
+            a.append((a[-1] / a[-1].sum() @ np.exp(m.moves)) * np.exp(e[t]))
+            back = np.exp(m.moves) @ (np.exp(e[-t]) * b[-1])
+            b.append(back / back.sum())
+        want = np.array(a) * np.array(b[::-1])
+        assert np.allclose(gamma[mine], want / want.sum(1, keepdims=True), atol=1e-5)
+
+
+def test_affixes_are_characters():
+    m = Model(["x", "y"])
+
+    def of(word):
+        data, offsets = strings(pa.array([word]))
+        return word_features(data, offsets[:-1], offsets[1:], hashes(data, offsets[:-1], offsets[1:]), m.lexicon, m.mask)[0]
+
+    one, two = of("жaé"), of("зaé")
+    assert len(one) == 8 + 4 + 3 and sum(one != two) == 1 + 3 + 1 + 4  # the word, 3 beginnings, the last three, and the pairs and triples with its first
+
+
+def test_the_lexicon_holds_words_of_one_language(docs_of, model):
+    assert len(model.lexicon[0]) > 20 and set(model.lexicon[1].tolist()) == {0, 1, 2} and (np.diff(model.lexicon[0].astype(float)) > 0).all()
+
+
+def test_rows_that_repeat_and_bounds_of_the_sample(docs_of, rows, monkeypatch):
+    twice = docs_of(rows[:40] + rows[:40])
+    model = train(twice, F.lit(True))
+    got = {}
+    for r in identify(twice, model).collect():
+        got.setdefault(r.doc_id, set()).add((r.lang_pred, r.score))
+    assert len(got) == 40 and all(len(x) == 1 for x in got.values())
+    monkeypatch.setattr(language, "CHARACTERS", 1)
+    assert len(train(docs_of(rows), F.lit(True)).languages) == 3  # one whole text a language
+
+
 def test_held_out_accuracy_and_scores(docs_of, rows, model):
     got = {r.doc_id: r for r in identify(docs_of(rows), model).collect()}
     held = [(i, lang) for i, _, lang, _ in rows if i % 3 == 1]
