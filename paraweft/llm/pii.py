@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from paraweft.llm.spread import spread_join
 from paraweft.scratch import Scratch
 
 #: Kinds in the order in which they are listed. Java patterns that find what the plain ones do: a possessive loop where
@@ -108,29 +109,28 @@ def _windows(text: Column, spans: Column) -> Column:
 
 
 def _disclosing(found: DataFrame, docs_text: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(key, added)``: for each document, the terms around its spans that disclose them, by the corpus's co-occurrences."""
-    sides = found.where(F.size("windows") > 0).select("key", F.explode("windows").alias("w")).select("key", "w.entity", F.explode("w.sides").alias("side")).select("key", "entity", "side.*")
-    terms = sides.withColumn("terms", find(F.col("piece"), TERM)).select("key", "entity", "at", "cut_left", "cut_right", F.length("piece").alias("size"), F.explode("terms").alias("t"))
+    """``(row, added)``: for each document, the terms around its spans that disclose them, by the corpus's co-occurrences."""
+    sides = found.where(F.size("windows") > 0).select("row", F.explode("windows").alias("w")).select("row", "w.entity", F.explode("w.sides").alias("side")).select("row", "entity", "side.*")
+    terms = sides.withColumn("terms", find(F.col("piece"), TERM)).select("row", "entity", "at", "cut_left", "cut_right", F.length("piece").alias("size"), F.explode("terms").alias("t"))
     terms = terms.where("not (cut_left and t.start = 0) and not (cut_right and t.end = size) and length(t.value) > 1")
-    context = scratch.write(terms.select("key", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end")), "context")
+    context = scratch.write(terms.select("row", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end")), "context")
 
-    both = context.groupBy("entity", "term", "key").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+    both = context.groupBy("entity", "term", "row").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
     both = scratch.write(both, "both")
-    entities = found.where(F.size("windows") > 0).select("key", F.explode(F.array_distinct(F.transform("windows", lambda w: w["entity"]))).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    wanted = both.select("term").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    words = docs_text.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    frequency = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    entities = found.where(F.size("windows") > 0).select(F.explode(F.array_distinct(F.transform("windows", lambda w: w["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    wanted = scratch.write(both.select("term").distinct(), "wanted")
+    words = docs_text.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))).alias("term"))
+    words = words.join(F.broadcast(wanted), "term", "left_semi") if wanted.count() <= BROADCAST_TERMS else spread_join(words, wanted, ["term"], scratch, "words")
+    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
     total = found.count()
     judged = both.join(entities, "entity").join(frequency, "term")
     pmi = F.log2(F.lit(float(total)) * F.col("both") / (F.col("of_entity") * F.greatest("of_term", "both")))
     content = F.log2(F.lit(float(total)) / F.col("of_entity"))
     share = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
     judged = judged.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
-    spans = context.join(judged, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
+    spans = spread_join(context, scratch.write(judged, "judged"), ["entity", "term"], scratch, "marked").groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
     nth = F.when(F.col("kind") == "remove", len(PATTERNS)).otherwise(len(PATTERNS) + 1)
-    return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", nth.alias("nth"), "kind", "end", F.lit("").alias("value")))).alias("added"))
+    return spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", nth.alias("nth"), "kind", "end", F.lit("").alias("value")))).alias("added"))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,9 +149,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     ``REMOVE`` of IC is removed, from ``GENERALISE`` on generalised. Terms that are
     frequent elsewhere, or values that stand in every document, disclose nothing.
 
-    ``key`` identifies the id and text. Rows that repeat both count once in the
-    statistics of values, as often as they come in those of terms, and all get
-    the spans. Null and empty texts have no spans. Other columns aren't read.
+    ``key`` identifies the id and text. Rows that repeat count as often as they
+    come in all statistics, and all get the spans. Null and empty texts have no spans. Other columns aren't read.
     An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "pii")
@@ -159,9 +158,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("text"))))
     base = rows.select("id", "text", key.alias("key"), base_spans(F.col("text")).alias("base"))
     windows = F.when(F.size("base") > 0, _windows(F.col("text"), F.col("base")))
-    found = scratch.write(base.select("id", "key", "base", windows.alias("windows")), "found")
+    found = scratch.write(base.select(F.monotonically_increasing_id().alias("row"), "id", "key", "base", windows.alias("windows")), "found")
     added = _disclosing(found, rows, scratch)
-    out = found.select("id", "key", "base").join(added, "key", "left")
+    out = found.select("row", "id", "key", "base").join(added, "row", "left")
     return out.select(F.col("id").alias(id_col), "key", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
 
 

@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 import re
 
+import regex
+
 from paraweft.llm.pii import detect, report, sanitised
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -62,6 +65,57 @@ def test_terms_that_give_a_value_away(docs_of):
     assert "zed@" not in clean[0] and "Zorblax" not in clean[0] and "[email]" in clean[0] and clean[5] == texts[5]
 
 
+TERM = regex.compile(r"[\p{L}\p{N}]++(?:['_-][\p{L}\p{N}]++)*+")
+
+
+def plain_added(texts):
+    """Spans of disclosing terms of each text, by counting everything."""
+    context, both, of_entity, of_term = [], {}, {}, {}
+    for i, t in enumerate(texts):
+        for term in {m.group().lower() for m in TERM.finditer(t)}:
+            of_term[term] = of_term.get(term, 0) + 1
+        spans = plain(t)
+        named = [f"{k}:{t[a:b].lower()}" for a, _, k, b in spans]
+        for e in set(named):
+            of_entity[e] = of_entity.get(e, 0) + 1
+        for n, (a, _, _, b) in enumerate(spans):
+            left, right = max(a - 60, spans[n - 1][3] if n else 0, 0), min(b + 60, spans[n + 1][0] if n + 1 < len(spans) else len(t))
+            for at, piece, cut_left, cut_right in ((left, t[left:a], left == a - 60, False), (b, t[b : max(right, b)], False, right == b + 60)):
+                for m in TERM.finditer(piece):
+                    if len(m.group()) > 1 and not (cut_left and m.start() == 0) and not (cut_right and m.end() == len(piece)):
+                        context.append((i, named[n], m.group().lower(), at + m.start(), at + m.end()))
+    for i, e, w, _, _ in context:
+        both.setdefault((e, w), set()).add(i)
+    out = [set() for _ in texts]
+    for i, e, w, a, b in context:
+        n = len(both[e, w])
+        content = math.log2(len(texts) / of_entity[e])
+        share = math.log2(len(texts) * n / (of_entity[e] * max(of_term[w], n))) / content if content > 0 else 0
+        if n >= 2 and share >= 0.75:
+            out[i].add((a, b, "remove" if share >= 0.9 else "generalise"))
+    return [{(a, b): max(k for x, y, k in o if (x, y) == (a, b)) for a, b, _ in o} for o in out]
+
+
+def test_disclosing_terms_equal_plain_counts(docs_of):
+    rng = random.Random(11)
+    people = [(f"name{k}", f"p{k % 7}@x.org", f"+1 650 555 01{k % 9}0") for k in range(12)]
+    common = ["the", "of", "Wrote", "call", "don't", "é", "x-y", "mail", "12"]
+    texts = []
+    for k in range(160):
+        parts = [rng.choice(common) for _ in range(rng.randint(0, 30))]
+        if k % 2:
+            name, mail, phone = rng.choice(people)
+            at = rng.randint(0, len(parts))
+            parts[at:at] = [name, mail] if rng.random() < 0.8 else [mail, phone]
+            parts.insert(rng.randint(0, len(parts)), rng.choice(people)[rng.randint(0, 2)])
+        texts.append(" ".join(parts))
+    texts += texts[1:6:2]  # rows that repeat
+    got = {r.doc_id: r.added for r in detect(docs_of(texts)).collect()}
+    want = plain_added(texts)
+    assert sum(map(len, want)) > 20 and {k for w in want for k in w.values()} == {"remove", "generalise"}
+    assert [{(s.start, s.end): s.kind for s in got[i]} for i in range(len(texts))] == want
+
+
 def test_repeated_rows_null_ids_and_empty_tables(docs_of):
     rows = [(1, "a@b.cd", "en", "s"), (1, "a@b.cd", "en", "s"), (1, "other 1.2.3.4", "en", "s"), (None, "a@b.cd", None, None), (None, None, None, None)]
     got = sorted((str(r.doc_id), r.spans) for r in report(detect(docs_of(rows))).collect())
