@@ -12,16 +12,17 @@ MOST = 4_000
 BROADCAST_HOT = 500_000
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], scratch: Scratch, name: str, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], scratch: Scratch, name: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """``many`` joined with ``one``, which has at most one row for each of ``keys``; ``how`` is inner or left.
 
     Keys with more than ``MOST`` rows of ``many`` are counted first (with map-side
     sums). Their rows are dealt to as many parts as that needs by a hash of all
-    their columns, and the one row is copied to each part. ``many`` is evaluated
-    twice, so it should come from files.
+    their columns, and the one row is copied to each part. ``counted`` are rows of
+    which each key has as many as ``many``, where those are cheaper to make; without
+    it ``many`` is evaluated twice, so it should come from files.
     """
     n, parts, salt = "\x01n", "\x01parts", "\x01salt"
-    hot = many.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > MOST)
+    hot = (many if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > MOST)
     hot = scratch.write(hot.select(*keys, F.ceil(F.col(n) / MOST).cast("int").alias(parts)), f"{name}-hot")
     found = hot.count()
     if not found:

@@ -292,7 +292,8 @@ class TokenStore:
         placed = self._placed()
         facts = self.chunks().mapInArrow(_facts, "digest binary, n long, crc long, sound boolean")
         steps = placed.select("part", "pos", "digests", "sizes").mapInArrow(_steps, "part long, pos long, digest binary, size long, after long")
-        joined = spread_join(steps, facts, ["digest"], scratch, "chunks", "left").select("part", "pos", "size", "after", "n", "crc", "sound")
+        named = self.recipes().select(F.explode("digests").alias("digest"))
+        joined = spread_join(steps, facts, ["digest"], scratch, "chunks", "left", named).select("part", "pos", "size", "after", "n", "crc", "sound")
         shifted = joined.mapInArrow(_shift, "part long, pos long, size long, crc long, sound boolean")
         sums = shifted.groupBy("part", "pos").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("size").alias("read"), F.min("sound").alias("sound"))
         roots = placed.select("part", "pos", "id", "start", "n_tokens", "digests", "root").mapInArrow(_rooted, f"part long, pos long, id {placed.schema['id'].dataType.simpleString()}, start long, n_tokens long, rooted boolean")
