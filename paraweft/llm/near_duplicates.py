@@ -18,7 +18,7 @@ from paraweft.scratch import Scratch
 TREES, DEPTH, REST = 32, 4, 3
 #: Members of a region that are all compared; a region with more is crowded.
 SMALL = 8
-#: Places ahead in a crowded region's order in which neighbours are taken.
+#: Places ahead in a crowded region's order in which neighbours of the same whole path are taken.
 AHEAD = 2
 #: Rows of one region that a task holds together (memory only).
 HELD = 4096
@@ -115,9 +115,11 @@ def forest(classes: DataFrame) -> DataFrame:
 def _neighbours(percent: int):
     """Arrow function over a partition of :func:`forest`: candidate pairs ``(a, b)``, and ``(a, null)`` for members of crowded regions.
 
-    In a region of up to ``SMALL`` members, all are paired. In a crowded one, each
-    is paired with its next neighbours, with which it shares the longest prefixes,
-    and with the member of the least identity, which is the same in most trees.
+    In a region of up to ``SMALL`` members, all are paired. In a crowded one, those
+    that share the whole path are: each with the next two and with the one of the
+    least identity, which is the same in most trees. The others are left to
+    :func:`rare_pairs`, which meets all members of crowded regions: most of them
+    aren't linked, and confirming each would cost a join of its full set.
     A region at the end of a partition may go on in the next one and counts as crowded.
     """
     head = 1 + 4 * DEPTH
@@ -129,16 +131,19 @@ def _neighbours(percent: int):
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(new)))[region]
         crowded = (size > SMALL) | np.logical_or.reduceat(crowd, first)[region]
+        turn = np.append(True, (path[1:] != path[:-1]).any(1))
+        same = np.cumsum(turn) - 1
+        alike = np.diff(np.append(np.flatnonzero(turn), len(turn)))[same]
         key = cls.view(">u8").astype(np.uint64).reshape(-1, 2)
         left, right = [], []
         for k in range(1, SMALL):
-            i = np.flatnonzero((region[:-k] == region[k:]) & (~crowded[:-k] | (k <= AHEAD)))
+            i = np.flatnonzero((region[:-k] == region[k:]) & (~crowded[:-k] | ((k <= AHEAD) & (same[:-k] == same[k:]))))
             left.append(i)
             right.append(i + k)
-        some = np.flatnonzero(crowded & (size > AHEAD + 1))
+        some = np.flatnonzero(crowded & (alike > AHEAD + 1))
         if len(some):
-            lowest = np.lexsort((key[some, 1], key[some, 0], region[some]))
-            lead = np.flatnonzero(np.append(True, np.diff(region[some][lowest]) != 0))
+            lowest = np.lexsort((key[some, 1], key[some, 0], same[some]))
+            lead = np.flatnonzero(np.append(True, np.diff(same[some][lowest]) != 0))
             pivot = np.repeat(some[lowest[lead]], np.diff(np.append(lead, len(some))))
             left.append(some)
             right.append(pivot)
@@ -226,8 +231,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. The forest sorts the classes in ``TREES`` orders; those that share the first
        ``DEPTH`` values of an order stand in one region of it. All members of
-       a small region are candidates; in a crowded one, neighbours of the longest
-       common prefix and a common pivot are (:func:`_neighbours`).
+       a small region are candidates; in a crowded one, neighbours that share the
+       whole path and their common pivot are (:func:`_neighbours`).
     2. Candidates are confirmed on the full sets (64-bit shingle hashes): first
        each class's most frequent one, then those whose ends aren't yet connected.
     3. Classes that stand in a crowded region meet each other by their rarest

@@ -1,8 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
+
 from paraweft.llm.components import components
-from paraweft.llm.near_duplicates import near_duplicates
+from paraweft.llm.near_duplicates import DEPTH, REST, _neighbours, near_duplicates
 from paraweft.scratch import Scratch
 
 
@@ -100,6 +102,20 @@ def test_texts_that_a_weak_hash_takes_for_each_other_stay_apart(docs_of):
     assert got(near_duplicates(docs_of([(i, t, "en", "s") for i, t in rows]), n=4)) == {i: (1, i, True) for i, _ in rows}
 
 
+def test_a_crowded_region_pairs_only_those_of_one_whole_path():
+    """27 members of one region, three of them of each path: 3 x 3 pairs at most of a path, none across, and all are flagged."""
+    head, rest = b"\0" * (1 + 4 * DEPTH), 4 * REST
+    path = [head + bytes([k // 3]) * rest for k in range(27)]
+    cls = [bytes([k]) * 16 for k in range(27)]
+    first = (bytes(len(head) + rest), bytes([99]) * 16)  # a partition's first region counts as crowded, so another stands before it
+    rows = [first, *[(b"\1" + p[1:], c) for p, c in zip(path, cls, strict=True)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.binary()), pa.array([50] * 28, pa.int32())], names=["path", "cls", "n_shingles"])
+    out = [r for b in _neighbours(80)(iter([batch])) for r in b.to_pylist()]
+    pairs = {(r["a"][0], r["b"][0]) for r in out if r["b"] is not None}
+    assert pairs == {(k + i, k + j) for k in range(0, 27, 3) for i in range(3) for j in range(i + 1, 3)}
+    assert {r["a"][0] for r in out if r["b"] is None} == {*range(27), 99}
+
+
 def test_edges(docs_of):
     rows = [(1, None, "en", "s"), (2, "", "en", "s"), (3, " \n ", "en", "s"), (4, "One two", "en", "s"), (5, "one TWO", None, None), (5, "one TWO", None, None), (None, "one two", "en", "s"), (7, "É é", "en", "s")]
     out = near_duplicates(docs_of(rows), n=4).collect()
