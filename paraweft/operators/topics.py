@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -155,6 +157,57 @@ def fit_topics(weights: np.ndarray, k: int, iterations: int = 100, seed: int = 4
     return gamma / gamma.sum(1, keepdims=True), words / words.sum(1, keepdims=True)
 
 
+def fit_many(docs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], k: int, iterations: int = 100, seed: int = 42, inner: int = 100) -> list[tuple[np.ndarray, np.ndarray]]:
+    """:func:`fit_topics` of each document, all steps made for many at once and on the weights that aren't zero.
+
+    A document is (rows, columns, row, column and weight of each weight, by row).
+    One whose topics have settled leaves the steps, as if it had been fitted alone.
+    """
+    ns, ms = np.array([d[0] for d in docs]), np.array([d[1] for d in docs])
+    first_row, first_col = np.append(0, np.cumsum(ns)), np.append(0, np.cumsum(ms))
+    row = np.concatenate([d[2] + a for d, a in zip(docs, first_row, strict=False)])
+    col = np.concatenate([d[3] + a for d, a in zip(docs, first_col, strict=False)])
+    weight = np.concatenate([d[4] for d in docs])
+    of_col = np.repeat(np.arange(len(docs)), ms)
+    words = np.concatenate([np.random.default_rng(seed).gamma(100.0, 0.01, (k, m)) for m in ms.tolist()], 1)
+    share = lambda g: np.exp(digamma(g) - digamma(g.sum(0)))
+    for step in range(iterations + 1):
+        beta = np.exp(digamma(words) - digamma(np.add.reduceat(words, first_col[:-1], axis=1))[:, of_col])
+        at = beta[:, col]
+        gamma = np.ones((k, first_row[-1]))
+        rows, n, r, w, b, g = np.arange(first_row[-1]), ns, row, weight, at, gamma
+        for _ in range(inner):
+            theta = share(g)
+            new = np.zeros_like(g)
+            if len(r):
+                begins = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                new[:, r[begins]] = np.add.reduceat(w / ((theta[:, r] * b).sum(0) + 1e-100) * b, begins, axis=1)
+            new = 1 / k + theta * new
+            moved = np.add.reduceat(np.abs(new - g).sum(0), np.append(0, np.cumsum(n)[:-1])) / (n * k)
+            g = new
+            if (moved < 1e-3).any():
+                open_rows = np.repeat(moved >= 1e-3, n)
+                gamma[:, rows[~open_rows]] = g[:, ~open_rows]
+                kept = open_rows[r]
+                r, w, b = (np.cumsum(open_rows) - 1)[r[kept]], w[kept], b[:, kept]
+                rows, n, g = rows[open_rows], n[moved >= 1e-3], g[:, open_rows]
+                if not len(n):
+                    break
+        gamma[:, rows] = g
+        if step == iterations:
+            break
+        theta = share(gamma)[:, row]
+        ratio = weight / ((theta * at).sum(0) + 1e-100)
+        words = 1 / k + beta * np.stack([np.bincount(col, theta[t] * ratio, first_col[-1]) for t in range(k)])
+    topics = (gamma / gamma.sum(0)).T
+    words = words / np.add.reduceat(words, first_col[:-1], axis=1)[:, of_col]
+    return [(topics[a:b], words[:, c:d]) for a, b, c, d in zip(first_row[:-1], first_row[1:], first_col[:-1], first_col[1:], strict=True)]
+
+
+#: Weights of the documents that are fitted together (memory and speed only).
+TOGETHER = 1 << 14
+
+
 def topic_count(n: int) -> int:
     """Topics of a document of n paragraphs: half as many, within 2 and 8."""
     return min(max(2, n // 2), 8)
@@ -170,23 +223,34 @@ def topic_model(paragraphs: DataFrame, k: int | None = None, iterations: int = 1
     weights = tfidf(paragraphs, id_col)
     of_para = weights.groupBy(id_col, "para").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
     rows = paragraphs.select(id_col, "para").join(of_para, [id_col, "para"], "left")
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("para")
-        pairs = [[(t["term"], t["weight"]) for t in ts] if ts is not None else [] for ts in part["terms"]]
-        names = sorted({t for ts in pairs for t, _ in ts})
-        at = {t: i for i, t in enumerate(names)}
-        x = np.zeros((len(part), max(len(names), 1)))
-        for r, ts in enumerate(pairs):
-            for t, w in ts:
-                x[r, at[t]] = w
-        topics, words = fit_topics(x, k or topic_count(len(part)), iterations)
-        main = topics.argmax(1)
-        tops = [[names[i] for i in np.argsort(-w, kind="stable")[:8]] if names else [] for w in words]
-        return pd.DataFrame({id_col: part[id_col], "para": part["para"], "topics": list(topics), "main_topic": main.astype("int32"), "confidence": topics.max(1), "words": [tops[i] for i in main]})
+    rows = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("para", F.array_sort("terms").alias("terms")))).alias("paras"))
+
+    def fitted(batch: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Results of documents of one number of topics: (topics, id, para of each row, terms, what is fitted)."""
+        for (_, i, paras, names, _), (topics, words) in zip(batch, fit_many([d[4] for d in batch], batch[0][0], iterations), strict=True):
+            main = topics.argmax(1)
+            tops = [[names[j] for j in np.argsort(-w, kind="stable")[:8]] if names else [] for w in words]
+            yield pd.DataFrame({id_col: [i] * len(paras), "para": paras, "topics": list(topics), "main_topic": main.astype("int32"), "confidence": topics.max(1), "words": [tops[j] for j in main]})
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for i, paras in zip(batch[id_col], batch["paras"], strict=True):
+                pairs = [[(t["term"], t["weight"]) for t in p["terms"]] if p["terms"] is not None else [] for p in paras]
+                names = sorted({t for ts in pairs for t, _ in ts})
+                at = {t: j for j, t in enumerate(names)}
+                row = np.repeat(np.arange(len(pairs)), [len(ts) for ts in pairs])
+                what = (len(pairs), max(len(names), 1), row, np.array([at[t] for ts in pairs for t, _ in ts], int), np.array([w for ts in pairs for _, w in ts], float))
+                topics = k or topic_count(len(pairs))
+                mine = waiting.setdefault(topics, [])
+                mine.append((topics, i, [p["para"] for p in paras], names, what))
+                if sum(len(d[4][4]) for d in mine) >= TOGETHER:
+                    yield pd.concat(fitted(waiting.pop(topics)))
+        for mine in waiting.values():
+            yield pd.concat(fitted(mine))
 
     types = {c: paragraphs.schema[c].dataType.simpleString() for c in (id_col, "para")}
-    return rows.groupBy(id_col).applyInPandas(fit, f"`{id_col}` {types[id_col]}, para {types['para']}, topics array<double>, main_topic int, confidence double, words array<string>")
+    return rows.mapInPandas(fit, f"`{id_col}` {types[id_col]}, para {types['para']}, topics array<double>, main_topic int, confidence double, words array<string>")
 
 
 def overall(semantic: Column, lexical: Column, coherence: Column, smoothness: Column, internal: Column, keywords: Column) -> Column:

@@ -103,6 +103,18 @@ def test_topics_part_what_differs(spark):
     assert {r.doc_id for r in scored} == {1, 2} and all(0 <= r.score <= 1 for r in scored)
 
 
+def test_topics_of_many_documents_are_those_of_each_alone():
+    rng = np.random.default_rng(7)
+    docs, plain = [], []
+    for n, m in ((2, 9), (5, 40), (3, 1), (4, 30), (5, 40)):
+        x = (rng.random((n, m)) < 0.4) * rng.random((n, m))
+        x[0] = 0  # a paragraph without a term
+        docs.append((n, m, *np.nonzero(x), x[np.nonzero(x)]))
+        plain.append(topics.fit_topics(x, 2, 20))
+    for (shares, words), (a, b) in zip(topics.fit_many(docs, 2, 20), plain, strict=True):
+        assert shares == pytest.approx(a, abs=1e-9) and words == pytest.approx(b, abs=1e-9)
+
+
 def test_paragraphs_are_tidied(spark):
     made = spark.createDataFrame([(["一 ，二 。三", " ", 'a " b'],)], "p array<string>").select(chinese.post_process(F.col("p")).alias("p")).first().p
     assert made == ["一，二。 三", 'a"b']
