@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from paraweft.functions import vectors as V
 from paraweft.operators.segment import Encoder, average, clamp, hashed_encoder
+from paraweft.operators.terms import blocks, term_name
 
 #: Words of no weight.
 STOP_WORDS = frozenset("的 了 在 是 我 有 和 就 不 人 都 一 the a an of to and in is it that".split())
@@ -157,55 +159,106 @@ def fit_topics(weights: np.ndarray, k: int, iterations: int = 100, seed: int = 4
     return gamma / gamma.sum(1, keepdims=True), words / words.sum(1, keepdims=True)
 
 
+def exp_digamma(x: np.ndarray) -> np.ndarray:
+    """exp(:func:`digamma`), its six first terms as one fraction."""
+    y, z = x * (x + 5), x + 6
+    u = 1 / (z * z)
+    return z * np.exp(-(2 * x + 5) * (3 * y * y + 20 * y + 24) / (y * (y + 4) * (y + 6)) - 0.5 / z - u * (1 / 12 - u * (1 / 120 - u * (1 / 252 - u / 240))))
+
+
+#: A step that moves no word by more than this share has come to where each later step would stay: what is left is rounding.
+SETTLED = 1e-14
+
+
 def fit_many(docs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], k: int, iterations: int = 100, seed: int = 42, inner: int = 100) -> list[tuple[np.ndarray, np.ndarray]]:
     """:func:`fit_topics` of each document, all steps made for many at once and on the weights that aren't zero.
 
     A document is (rows, columns, row, column and weight of each weight, by row).
-    One whose topics have settled leaves the steps, as if it had been fitted alone.
+    One whose topics have settled leaves the inner steps, as if it had been fitted
+    alone. A step starts from the words alone, so one that leaves them as they are
+    is the same as all after it, and the document is done.
     """
     ns, ms = np.array([d[0] for d in docs]), np.array([d[1] for d in docs])
     first_row, first_col = np.append(0, np.cumsum(ns)), np.append(0, np.cumsum(ms))
     row = np.concatenate([d[2] + a for d, a in zip(docs, first_row, strict=False)])
     col = np.concatenate([d[3] + a for d, a in zip(docs, first_col, strict=False)])
     weight = np.concatenate([d[4] for d in docs])
-    of_col = np.repeat(np.arange(len(docs)), ms)
-    words = np.concatenate([np.random.default_rng(seed).gamma(100.0, 0.01, (k, m)) for m in ms.tolist()], 1)
-    share = lambda g: np.exp(digamma(g) - digamma(g.sum(0)))
+    start = np.random.default_rng(seed)
+    state = start.bit_generator.state
+    words = []
+    for m in ms.tolist():
+        start.bit_generator.state = state
+        words.append(start.gamma(100.0, 0.01, (k, m)))
+    words = np.concatenate(words, 1)
+    out: list = [None] * len(docs)
+    which = np.arange(len(docs))
     for step in range(iterations + 1):
-        beta = np.exp(digamma(words) - digamma(np.add.reduceat(words, first_col[:-1], axis=1))[:, of_col])
+        beta = exp_digamma(words) / np.repeat(exp_digamma(np.add.reduceat(words, first_col[:-1], axis=1)), ms, axis=1)
         at = beta[:, col]
-        gamma = np.ones((k, first_row[-1]))
-        rows, n, r, w, b, g = np.arange(first_row[-1]), ns, row, weight, at, gamma
-        for _ in range(inner):
-            theta = share(g)
-            new = np.zeros_like(g)
-            if len(r):
-                begins = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                new[:, r[begins]] = np.add.reduceat(w / ((theta[:, r] * b).sum(0) + 1e-100) * b, begins, axis=1)
-            new = 1 / k + theta * new
-            moved = np.add.reduceat(np.abs(new - g).sum(0), np.append(0, np.cumsum(n)[:-1])) / (n * k)
-            g = new
-            if (moved < 1e-3).any():
-                open_rows = np.repeat(moved >= 1e-3, n)
-                gamma[:, rows[~open_rows]] = g[:, ~open_rows]
-                kept = open_rows[r]
-                r, w, b = (np.cumsum(open_rows) - 1)[r[kept]], w[kept], b[:, kept]
-                rows, n, g = rows[open_rows], n[moved >= 1e-3], g[:, open_rows]
-                if not len(n):
-                    break
-        gamma[:, rows] = g
-        if step == iterations:
+        gamma = _shares(ns, row, weight, at, k, inner)
+        done = np.full(len(ns), step == iterations)
+        if step < iterations:
+            theta = exp_digamma(gamma)
+            parts = [np.take(theta[t], row) * at[t] for t in range(k)]
+            ratio = weight / sum(parts[1:], parts[0])
+            moved = 1 / k + np.stack([np.bincount(col, x * ratio, first_col[-1]) for x in parts])
+            change = np.maximum.reduceat((np.abs(moved - words) / moved).max(0), first_col[:-1])
+            words, done = moved, change <= SETTLED
+        for d in np.flatnonzero(done):
+            g, w = gamma[:, first_row[d] : first_row[d + 1]], words[:, first_col[d] : first_col[d + 1]]
+            out[which[d]] = ((g / g.sum(0)).T, w / w.sum(1, keepdims=True))
+        if done.all():
             break
-        theta = share(gamma)[:, row]
-        ratio = weight / ((theta * at).sum(0) + 1e-100)
-        words = 1 / k + beta * np.stack([np.bincount(col, theta[t] * ratio, first_col[-1]) for t in range(k)])
-    topics = (gamma / gamma.sum(0)).T
-    words = words / np.add.reduceat(words, first_col[:-1], axis=1)[:, of_col]
-    return [(topics[a:b], words[:, c:d]) for a, b, c, d in zip(first_row[:-1], first_row[1:], first_col[:-1], first_col[1:], strict=True)]
-
-
-#: Weights of the documents that are fitted together (memory and speed only).
-TOGETHER = 1 << 14
+        if done.any():
+            rows, cols = np.repeat(~done, ns), np.repeat(~done, ms)
+            kept = rows[row]
+            row, col, weight = (np.cumsum(rows) - 1)[row[kept]], (np.cumsum(cols) - 1)[col[kept]], weight[kept]
+            words, ns, ms, which = words[:, cols], ns[~done], ms[~done], which[~done]
+            first_row, first_col = np.append(0, np.cumsum(ns)), np.append(0, np.cumsum(ms))
+    return out
+
+
+def _shares(ns: np.ndarray, row: np.ndarray, weight: np.ndarray, at: np.ndarray, k: int, inner: int) -> np.ndarray:
+    """The topics of all rows, from ones on; a document's as they are when they move by less than 0.001 on average. at: the words' weights in each topic."""
+    out = np.ones((k, ns.sum()))
+    rows, n, r, w, b, g = np.arange(out.shape[1]), ns, row, weight, at, out
+    first = np.append(0, np.cumsum(n))
+    begins = np.flatnonzero(np.append(True, r[1:] != r[:-1])[: len(r)])
+    full, size = r[begins], np.diff(np.append(begins, len(r)))
+    waits = np.ones(len(n), bool)  # documents that still move
+    for _ in range(inner):
+        theta = exp_digamma(g)  # not over their sums, which cancel out
+        new = np.zeros_like(g)
+        if len(r):
+            parts = np.repeat(theta[:, full], size, axis=1)
+            parts *= b
+            p = np.add.reduce(parts, 0)
+            np.divide(w, p, out=p)
+            for t in range(k):
+                new[t, full] = np.add.reduceat(np.multiply(p, b[t], out=parts[t]), begins)
+        new = 1 / k + theta * new
+        ends = waits & (np.add.reduceat(np.abs(new - g).sum(0), first[:-1]) / (n * k) < 1e-3)
+        g = new
+        if ends.any():
+            ended = np.repeat(ends, n)
+            out[:, rows[ended]] = g[:, ended]
+            waits &= ~ends
+            if not waits.any():
+                return out
+            if 4 * n[waits].sum() < 3 * n.sum():  # those that have ended leave, a quarter at a time
+                stay = np.repeat(waits, n)
+                kept = np.flatnonzero(np.repeat(stay[full], size))
+                full, size = (np.cumsum(stay) - 1)[full[stay[full]]], size[stay[full]]
+                begins, r, w, b = np.cumsum(size) - size, kept, w[kept], np.take(b, kept, axis=1)
+                rows, g, n = rows[stay], g[:, stay], n[waits]
+                waits, first = np.ones(len(n), bool), np.append(0, np.cumsum(n))
+    last = np.repeat(waits, n)
+    out[:, rows[last]] = g[:, last]
+    return out
+
+
+#: Weights times topics of the documents that are fitted together (memory and speed only).
+TOGETHER = 1 << 19
 
 
 def topic_count(n: int) -> int:
@@ -213,44 +266,55 @@ def topic_count(n: int) -> int:
     return min(max(2, n // 2), 8)
 
 
+def paragraph_words(paras: Column) -> Column:
+    """Array of struct(para, words) of an array of struct(para, text, ..)."""
+    return F.transform(paras, lambda p: F.struct(p["para"].alias("para"), terms(p["text"]).alias("words")))
+
+
 def topic_model(paragraphs: DataFrame, k: int | None = None, iterations: int = 100, id_col: str = "doc_id") -> DataFrame:
     """``(id, para, topics, main_topic, confidence, words)``: one topic model a document over its TF-IDF weights.
 
-    ``words`` are the eight of most weight in the paragraph's main topic. A
-    document's model is fitted in one task; its rows are its paragraphs and at
-    most a thousand terms. Paragraphs without a term have all topics alike.
+    ``words`` are the eight of most weight in the paragraph's main topic, ties by
+    name. A document's model is fitted in one task, from its text; its rows are its
+    paragraphs and at most a thousand terms, weighed as by :func:`tfidf`.
+    Paragraphs without a term have all topics alike.
     """
-    weights = tfidf(paragraphs, id_col)
-    of_para = weights.groupBy(id_col, "para").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
-    rows = paragraphs.select(id_col, "para").join(of_para, [id_col, "para"], "left")
-    rows = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("para", F.array_sort("terms").alias("terms")))).alias("paras"))
-
-    def fitted(batch: list[tuple]) -> Iterator[pd.DataFrame]:
-        """Results of documents of one number of topics: (topics, id, para of each row, terms, what is fitted)."""
-        for (_, i, paras, names, _), (topics, words) in zip(batch, fit_many([d[4] for d in batch], batch[0][0], iterations), strict=True):
-            main = topics.argmax(1)
-            tops = [[names[j] for j in np.argsort(-w, kind="stable")[:8]] if names else [] for w in words]
-            yield pd.DataFrame({id_col: [i] * len(paras), "para": paras, "topics": list(topics), "main_topic": main.astype("int32"), "confidence": topics.max(1), "words": [tops[j] for j in main]})
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: dict[int, list[tuple]] = {}
+    docs = paragraphs.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("para", "text"))).alias("paras"))
+    docs = docs.select(id_col, paragraph_words(F.col("paras")).alias("paras"))
+
+    def fitted(mine: list[tuple]) -> pa.RecordBatch:
+        """Results of documents of one number of topics: (topics, id, paras, keys of terms, what is fitted, words)."""
+        topics, main, tops = [], [], []
+        for (_, _, _, keys, _, names), (shares, words) in zip(mine, fit_many([d[4] for d in mine], mine[0][0], iterations), strict=True):
+            best = np.argsort(-np.round(words, V.DIGITS), axis=1, kind="stable")[:, :8] if len(keys) else np.zeros((len(words), 0), int)
+            named = [[term_name(names, keys[j]) for j in js] for js in best]
+            topics.append(shares)
+            main.append(shares.argmax(1))
+            tops += [named[t] for t in main[-1]]
+        topics, main = np.concatenate(topics), np.concatenate(main)
+        ids = pa.concat_arrays([d[1] for d in mine]).take(pa.array(np.repeat(np.arange(len(mine)), [len(d[2]) for d in mine])))
+        shares = pa.ListArray.from_arrays(pa.array(np.arange(len(topics) + 1) * topics.shape[1], pa.int32()), pa.array(topics.ravel()))
+        arrays = [ids, pa.concat_arrays([d[2] for d in mine]), shares, pa.array(main.astype("int32")), pa.array(topics.max(1)), pa.array(tops, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays, [id_col, "para", "topics", "main_topic", "confidence", "words"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, paras in zip(batch[id_col], batch["paras"], strict=True):
-                pairs = [[(t["term"], t["weight"]) for t in p["terms"]] if p["terms"] is not None else [] for p in paras]
-                names = sorted({t for ts in pairs for t, _ in ts})
-                at = {t: j for j, t in enumerate(names)}
-                row = np.repeat(np.arange(len(pairs)), [len(ts) for ts in pairs])
-                what = (len(pairs), max(len(names), 1), row, np.array([at[t] for ts in pairs for t, _ in ts], int), np.array([w for ts in pairs for _, w in ts], float))
-                topics = k or topic_count(len(pairs))
-                mine = waiting.setdefault(topics, [])
-                mine.append((topics, i, [p["para"] for p in paras], names, what))
-                if sum(len(d[4][4]) for d in mine) >= TOGETHER:
-                    yield pd.concat(fitted(waiting.pop(topics)))
-        for mine in waiting.values():
-            yield pd.concat(fitted(mine))
+            waiting: dict[int, list[tuple]] = {}
+            sizes: dict[int, int] = {}
+            for first, block in blocks(batch, id_col, "paras"):
+                block.weigh()
+                for d, (paras, keys, what) in enumerate(block.documents()):
+                    n = k or topic_count(len(paras))
+                    waiting.setdefault(n, []).append((n, batch.column(id_col).slice(first + d, 1), paras, keys, what, block.names))
+                    sizes[n] = sizes.get(n, 0) + n * len(what[4])
+                    if sizes[n] >= TOGETHER:
+                        del sizes[n]
+                        yield fitted(waiting.pop(n))
+            for mine in waiting.values():  # nothing of a batch is kept beyond it
+                yield fitted(mine)
 
     types = {c: paragraphs.schema[c].dataType.simpleString() for c in (id_col, "para")}
-    return rows.mapInPandas(fit, f"`{id_col}` {types[id_col]}, para {types['para']}, topics array<double>, main_topic int, confidence double, words array<string>")
+    return docs.mapInArrow(fit, f"`{id_col}` {types[id_col]}, para {types['para']}, topics array<double>, main_topic int, confidence double, words array<string>")
 
 
 def overall(semantic: Column, lexical: Column, coherence: Column, smoothness: Column, internal: Column, keywords: Column) -> Column:
@@ -267,22 +331,33 @@ def consistency(paragraphs: DataFrame, encoder: Encoder | None = None, id_col: s
 
     Input rows are (id, para, text, sentences). ``topics`` are rows (id, para,
     topics) of :func:`topic_model`; without them a paragraph's shares of the
-    encoder's dimensions stand for its topics.
+    encoder's dimensions stand for its topics. Texts are shuffled once, to the
+    row of their document, and all measures are made there.
     """
     encoder = encoder or hashed_encoder()
-    rows = paragraphs.withColumns({"v": F.get(encoder(F.array("text")), F.lit(0)), "inner": internal_consistency(encoder(F.col("sentences")))})
     size = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x))
-    if topics is None:
-        rows = rows.withColumn("topics", V.let(F.col("v"), lambda v: V.let(size(v), lambda n: F.transform(v, lambda x: F.when(n > 0, F.abs(x) / n).otherwise(F.lit(0.0))))))
-    else:
-        rows = rows.drop("topics").join(topics.select(id_col, "para", "topics"), [id_col, "para"])
-    per = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("para", "v", "topics"))).alias("vs"), F.avg("inner").alias("internal"), F.count(F.lit(1)).cast("int").alias("n_paragraphs")).where("n_paragraphs > 1")
-    per = per.withColumns({"semantic": mean_cosine(F.transform("vs", lambda x: x["v"])), "t": topic_scores(F.transform("vs", lambda x: x["topics"]))}).drop("vs")
-    lexical = lexical_similarity(tfidf(paragraphs, id_col), id_col, 12).groupBy(id_col).agg(F.sum("sim").alias("sims"))
-    words = keyword_overlap(paragraphs, 5, id_col).groupBy(id_col).agg(F.avg("overlap").alias("keywords"))
-    out = per.join(lexical, id_col, "left").join(words, id_col, "left")
+    shares = lambda v: V.let(size(v), lambda n: F.transform(v, lambda x: F.when(n > 0, F.abs(x) / n).otherwise(F.lit(0.0))))
+    rows = paragraphs.select(id_col, F.struct("para", "text", internal_consistency(encoder(F.col("sentences"))).alias("inner")).alias("row"))
+    docs = rows.groupBy(id_col).agg(F.array_sort(F.collect_list("row")).alias("paras"), F.avg("row.inner").alias("internal"), F.count(F.lit(1)).cast("int").alias("n_paragraphs")).where("n_paragraphs > 1")
+    both = lambda vs: F.struct(mean_cosine(vs).alias("semantic"), (topic_scores(F.transform(vs, shares)) if topics is None else F.lit(None)).alias("t"))
+    docs = docs.withColumn("v", V.let(encoder(F.col("paras.text")), both)).select(id_col, "n_paragraphs", "internal", "v.semantic", "v.t", paragraph_words(F.col("paras")).alias("paras"))
+    if topics is not None:
+        docs = docs.drop("t")
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, block in blocks(batch, id_col, "paras"):
+                block.weigh()
+                kept = batch.slice(first, len(block.n)).drop_columns(["paras"])
+                yield kept.append_column("sims", pa.array(block.similarity())).append_column("keywords", pa.array(block.overlap()))
+
+    made = docs.drop("paras").schema
+    out = docs.mapInArrow(weighed, StructType([*made, StructField("sims", DoubleType()), StructField("keywords", DoubleType())]))
+    if topics is not None:
+        told = topics.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("para", "topics"))).alias("ts"))
+        out = out.join(told.select(id_col, topic_scores(F.col("ts.topics")).alias("t")), id_col)
     pairs = F.col("n_paragraphs") * (F.col("n_paragraphs") - 1) / 2
-    out = out.withColumns({"lexical": F.coalesce(F.col("sims") / pairs, F.lit(0.0)), "keywords": F.coalesce("keywords", F.lit(0.0))})
+    out = out.withColumn("lexical", F.col("sims") / pairs)
     score = overall(F.col("semantic"), F.col("lexical"), F.col("t.coherence"), F.col("t.smoothness"), F.col("internal"), F.col("keywords"))
     cols = {"semantic": "semantic", "lexical": "lexical", "internal": "internal", "keywords": "keywords", "coherence": "t.coherence", "smoothness": "t.smoothness"}
     return out.withColumn("s", F.round(score, 6)).select(id_col, "n_paragraphs", *[(F.round(v, 6) + 0.0).alias(k) for k, v in cols.items()], F.size("t.boundaries").alias("n_boundaries"), F.col("s").alias("score"), grade(F.col("s")).alias("grade"))
